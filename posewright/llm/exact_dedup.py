@@ -6,8 +6,8 @@ group (same bytes, same end) is a class of equal texts. Equality is decided on t
 
 Digits start short, since most texts differ early, and grow fourfold to ``MAX_DIGIT``. A level
 pre-aggregates its digit counts before the shuffle, so a hot group costs one row for each map task; the
-counts of groups with two or more rows are written, then joined back, where a hot group's rows can be
-split over tasks. Only the unread rest of the texts in such groups moves to the next level.
+counts of groups with two or more rows are written, then joined back: by broadcast while they are few,
+else by a shuffle join, where a hot group's rows can be split over tasks. Only the unread rest of the texts in such groups moves to the next level.
 """
 
 from __future__ import annotations
@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from ..staging import discard, stage
 
 FIRST_DIGIT, GROWTH, MAX_DIGIT = 32, 4, 1 << 20
+#: A level's counted groups are broadcast up to this size (digits and 64 bytes a row), else joined by shuffle.
+BROADCAST_BYTES = 64 << 20
 
 
 def _level(active: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
@@ -36,7 +38,9 @@ def _level(active: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
         .agg(F.count("*").alias("n"), F.max("doc_id").alias("keep_id"))
         .where("n > 1")
         .withColumn("next", F.monotonically_increasing_id()), "radix-groups")
-    rows = dealt.join(groups, ["gid", "digit", "ended"]).select(
+    held = groups.agg(F.coalesce(F.sum(F.octet_length("digit") + 64), F.lit(0))).first()[0]
+    near = F.broadcast(groups) if held <= BROADCAST_BYTES else groups
+    rows = dealt.join(near, ["gid", "digit", "ended"]).select(
         F.col("next").alias("gid"), "doc_id", "text_sha256", "rest", "ended", "n", "keep_id")
     return groups, stage(rows, "radix-rows")
 
