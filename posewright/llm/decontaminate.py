@@ -124,5 +124,6 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose text matches no benchmark item, with all their columns."""
-    bad = decontaminate(docs, benchmark).select(F.col("doc_id").alias("bad_id")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("bad_id")), "left_anti")
+    bad = stage(decontaminate(docs, benchmark).select(F.col("doc_id").alias("bad_id")).distinct(), "contaminated")
+    near = F.broadcast(bad) if bad.count() <= BROADCAST_ROWS else bad
+    return docs.join(near, docs["doc_id"].eqNullSafe(near["bad_id"]), "left_anti")

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..staging import discard, stage
+from .rows import take_out
 
 FIRST_DIGIT, GROWTH, MAX_DIGIT = 32, 4, 1 << 20
 #: A level's counted groups are broadcast up to this size (digits and 64 bytes a row), else joined by shuffle.
@@ -90,13 +91,8 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
 
 def drop_copies(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns; of rows equal in id and text, one stays."""
-    gone = exact_dedup(docs).where("group_size > 1").select(
-        F.col("doc_id").alias("r_id"), F.col("text_sha256").alias("r_sha"), "kept").distinct()
-    marked = docs.withColumn("__sha", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
-    match = F.col("doc_id").eqNullSafe(F.col("r_id")) & (F.col("__sha") == F.col("r_sha"))
-    once = marked.join(gone, match, "left_anti").drop("__sha")
-    first = marked.join(gone.where("kept"), match, "left_semi").dropDuplicates(["doc_id", "__sha"]).drop("__sha")
-    return once.unionByName(first)
+    found = exact_dedup(docs).where("group_size > 1").select("doc_id", F.col("text_sha256").alias("key"), "kept")
+    return take_out(docs, F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256), found)
 
 
 ORACLE_SQL = """

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
 from ..staging import stage
+from .rows import take_out
 
 SHINGLE, MAX_BITS, SEED = 4, 4, 42
 #: Mean fingerprints in a bucket beyond which one more block is cut, and pairs that one step of the walk expands.
@@ -56,14 +57,15 @@ def majority(hashes: np.ndarray) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """``(doc_id, fp)`` of every row; ``fp`` is the fingerprint as a signed 64-bit number."""
+    """``(doc_id, key, fp)`` of every row: the text's digest, and the fingerprint as a signed 64-bit number."""
 
     def run(batches):
         for b in batches:
             fps = np.array([fingerprint(t, shingle) for t in b.column("text").to_pylist()], dtype=np.uint64)
-            yield pa.record_batch([b.column("doc_id").cast(pa.int64()), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            yield pa.record_batch([b.column("doc_id"), b.column("key"), pa.array(fps.view(np.int64))], ["doc_id", "key", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("key"), "text").mapInArrow(
+        run, "doc_id long, key long, fp long")
 
 
 def plan_tables(n: int, max_bits: int = MAX_BITS) -> list[tuple[int, ...]]:
@@ -193,6 +195,19 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     return dealt.mapInArrow(join, "i long, j long")
 
 
+def labelled(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
+    """``doc_id, key, fp, component_id, component_size`` and the component's own number, of every row."""
+    rows = stage(fingerprints(docs, shingle), "simhash-rows")
+    nodes = stage(rows.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count("*").alias("n")), "simhash-nodes")
+    joined = stage(links(nodes.select("fp"), max_bits).distinct(), "simhash-links")
+    parts = connected_components(joined)
+    named = stage(nodes.join(parts, nodes["fp"] == parts["node"], "left").select(
+        "fp", "low", "n", F.coalesce("component", "fp").alias("component")), "simhash-named")
+    heads = named.groupBy("component").agg(F.min("low").alias("component_id"), F.sum("n").alias("component_size"))
+    label = stage(named.join(heads, "component").select("fp", "component", "component_id", "component_size"), "simhash-labels")
+    return rows.join(label, "fp")
+
+
 def simhash_components(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
     """One row per document: ``doc_id, fingerprint, component_id``, plus ``component_size`` in documents.
 
@@ -200,14 +215,15 @@ def simhash_components(docs: DataFrame, shingle: int = SHINGLE, max_bits: int =
     shingle is hashed whole. Repeated rows are separate members of one component. Null ids are members,
     but no component is named after one unless it has no other. An empty table gives an empty result.
     """
-    rows = stage(fingerprints(docs, shingle), "simhash-rows")
-    nodes = stage(rows.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count("*").alias("n")), "simhash-nodes")
-    joined = stage(links(nodes.select("fp"), max_bits).distinct(), "simhash-links")
-    parts = connected_components(joined)
-    named = nodes.join(parts, nodes["fp"] == parts["node"], "left").select(
-        "fp", "low", "n", F.coalesce("component", "fp").alias("component"))
-    named = stage(named, "simhash-named")
-    heads = named.groupBy("component").agg(F.min("low").alias("component_id"), F.sum("n").alias("component_size"))
-    label = stage(named.join(heads, "component").select("fp", "component_id", "component_size"), "simhash-labels")
-    return rows.join(label, "fp").select(
+    return labelled(docs, shingle, max_bits).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "component_size")
+
+
+def drop_near_copies(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
+    """One row of each component, the one with the smallest id (then digest), with all its columns."""
+    rows = stage(labelled(docs, shingle, max_bits).where("component_size > 1").select("doc_id", "key", "component"), "simhash-members")
+    first = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("first")).select(
+        F.col("component").alias("c"), F.col("first.doc_id").alias("first_id"), F.col("first.key").alias("first_key"))
+    verdicts = rows.join(first, rows["component"] == first["c"]).select(
+        "doc_id", "key", (F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("key") == F.col("first_key"))).alias("kept"))
+    return take_out(docs, F.xxhash64("text"), verdicts)
