@@ -7,6 +7,7 @@ committer makes a written table complete or absent, so a lost executor costs one
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -47,3 +48,9 @@ def discard(df: DataFrame) -> None:
         folder = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
         if shared_root(spark).split("://")[-1] in folder.toString():
             folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner delete the shuffle files of plans that are no longer referenced."""
+    gc.collect()
+    spark._jvm.System.gc()
