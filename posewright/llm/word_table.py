@@ -1,7 +1,8 @@
 """A worker's table of the words it has met, looked up for whole byte arrays at once.
 
-A word is found by a 64-bit polynomial hash of its bytes, which running sums give for all words of an
-array together, and is then compared with the stored bytes; two words with one hash are kept apart.
+A word is read as up to four overlapping 64-bit pieces at its two ends, which are the whole of a word of
+at most 32 bytes. A hash of the pieces finds a word and the pieces are then compared; longer words are
+compared byte by byte. Two words with one hash are kept apart.
 """
 
 from __future__ import annotations
@@ -11,21 +12,9 @@ from collections.abc import Callable
 import numpy as np
 
 #: Bytes whose words are looked up together, and words after which the table is emptied.
-SLICE, LIMIT = 4 << 20, 2_000_000
-BASE = 0x9E3779B97F4A7C55
-INVERSE = pow(BASE, -1, 1 << 64)
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.empty(n, np.uint64)
-    out[0] = 1
-    done = 1
-    while done < n:
-        step = np.uint64(pow(base, done, 1 << 64))
-        more = min(done, n - done)
-        out[done:done + more] = out[:more] * step
-        done += more
-    return out
+SLICE, LIMIT = 1 << 20, 1_000_000
+MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+MIX = [np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
 
 
 def ragged(first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -34,24 +23,37 @@ def ragged(first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.repeat(first - ends + sizes, sizes) + np.arange(int(ends[-1]) if len(ends) else 0)
 
 
+def pieces(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
+    """The four 64-bit pieces of each word: first, last, second and last but one; zero where a word has no such."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    at = np.ndarray((len(data) + 1,), "<u8", padded, 0, (1,))
+    out = [at[starts] & MASKS[np.minimum(sizes, 8)]]
+    for least, offset in ((8, sizes - 8), (16, 8), (24, sizes - 16)):
+        piece = np.zeros(len(starts), np.uint64)
+        k = np.flatnonzero(sizes > least)
+        piece[k] = at[starts[k] + (offset if least == 16 else offset[k])]
+        out.append(piece)
+    return out
+
+
 class WordTable:
     """Words and the ids that ``learn`` gives them: ``learn(words) -> (ids, at)``, ``at`` one longer than words."""
 
     def __init__(self, learn: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], limit: int = LIMIT):
         self.learn, self.limit = learn, limit
-        self.down, self.up = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
         self.clear()
 
     def clear(self) -> None:
         self.n = 0
         self.slots = np.full(1 << 16, -1, np.int32)
-        self.hash = np.zeros(1 << 14, np.uint64)
-        self.ids_at, self.bytes_at = np.zeros((1 << 14) + 1, np.int64), np.zeros((1 << 14) + 1, np.int64)
-        self.ids, self.bytes = np.zeros(1 << 16, np.uint32), np.zeros(1 << 18, np.uint8)
+        self.hash, self.size = np.zeros(1 << 14, np.uint64), np.zeros(1 << 14, np.int64)
+        self.pieces = [np.zeros(1 << 14, np.uint64) for _ in range(4)]
+        self.ids_at, self.ids = np.zeros((1 << 14) + 1, np.int64), np.zeros(1 << 16, np.uint32)
+        self.long: dict[int, bytes] = {}
         self.odd: dict[bytes, int] = {}
 
     def _place(self, h: np.ndarray) -> np.ndarray:
-        return ((h * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - int(np.log2(len(self.slots))))).astype(np.int64)
+        return (h >> np.uint64(65 - len(self.slots).bit_length())).astype(np.int64)
 
     def _find(self, h: np.ndarray) -> np.ndarray:
         mask = len(self.slots) - 1
@@ -73,23 +75,22 @@ class WordTable:
             lost = self.slots[at] != left
             left, at = left[lost], (at[lost] + 1) & mask
 
-    def _store(self, words: list[bytes], h: np.ndarray, visible: bool) -> None:
+    def _store(self, words: list[bytes], h: np.ndarray, parts: list[np.ndarray], visible: bool) -> None:
         ids, at = self.learn(words)
         k, n = self.n, self.n + len(words)
-        sizes = np.fromiter(map(len, words), np.int64, len(words))
 
         def room(a, size):
             return a if size <= len(a) else np.concatenate([a, np.zeros(max(size, 2 * len(a)) - len(a), a.dtype)])
 
-        self.hash = room(self.hash, n)
-        self.ids_at, self.bytes_at = room(self.ids_at, n + 1), room(self.bytes_at, n + 1)
-        self.hash[k:n] = h
+        self.hash, self.size, self.ids_at = room(self.hash, n), room(self.size, n), room(self.ids_at, n + 1)
+        self.pieces = [room(p, n) for p in self.pieces]
+        self.hash[k:n], self.size[k:n] = h, np.fromiter(map(len, words), np.int64, len(words))
+        for p, new in zip(self.pieces, parts, strict=True):
+            p[k:n] = new
+        self.long |= {k + i: words[i] for i in np.flatnonzero(self.size[k:n] > 32).tolist()}
         self.ids_at[k + 1:n + 1] = self.ids_at[k] + at[1:]
-        self.bytes_at[k + 1:n + 1] = self.bytes_at[k] + np.cumsum(sizes)
         self.ids = room(self.ids, int(self.ids_at[n]))
         self.ids[self.ids_at[k]:self.ids_at[n]] = ids
-        self.bytes = room(self.bytes, int(self.bytes_at[n]))
-        self.bytes[self.bytes_at[k]:self.bytes_at[n]] = np.frombuffer(b"".join(words), np.uint8)
         self.n = n
         if not visible:
             return
@@ -104,30 +105,31 @@ class WordTable:
         """The number of each word ``data[starts[k]:ends[k]]``; unknown words are learned."""
         if self.n > self.limit:
             self.clear()
-        if len(self.down) <= len(data):
-            self.down, self.up = _powers(INVERSE, 2 * len(data) + 2), _powers(BASE, 2 * len(data) + 2)
-        sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * self.down[:len(data)], out=sums[1:])
-        h = (sums[ends] - sums[starts]) * self.up[starts]
+        sizes = ends - starts
+        parts = pieces(data, starts, sizes)
+        h = sizes.astype(np.uint64) * MIX[4]
+        for p, m in zip(parts, MIX, strict=False):
+            h = (h ^ p) * m
+            h ^= h >> np.uint64(29)
+        h *= MIX[0]
         found = self._find(h).astype(np.int64)
         new = np.flatnonzero(found < 0)
         if len(new):
             keys, first = np.unique(h[new], return_index=True)
-            raw = data.tobytes()
-            self._store([raw[a:b] for a, b in zip(starts[new[first]].tolist(), ends[new[first]].tolist(), strict=True)], keys, True)
+            first, raw = new[first], data.tobytes()
+            self._store([raw[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)],
+                        keys, [p[first] for p in parts], True)
             found[new] = self._find(h[new])
-        sizes = ends - starts
-        same = sizes == (self.bytes_at[1:] - self.bytes_at[:-1])[found]
-        wrong = ~same
-        k = np.flatnonzero(same & (sizes > 0))
-        differ = data[ragged(starts[k], sizes[k])] != self.bytes[ragged(self.bytes_at[found[k]], sizes[k])]
-        if differ.any():
-            wrong[np.repeat(k, sizes[k])[differ]] = True
+        wrong = (self.size[found] != sizes) | (self.pieces[0][found] != parts[0]) | (self.pieces[1][found] != parts[1])
+        wide = np.flatnonzero(sizes > 16)
+        wrong[wide] |= (self.pieces[2][found[wide]] != parts[2][wide]) | (self.pieces[3][found[wide]] != parts[3][wide])
+        for i in wide[sizes[wide] > 32].tolist():
+            wrong[i] |= self.long.get(int(found[i])) != data[starts[i]:ends[i]].tobytes()
         for i in np.flatnonzero(wrong).tolist():
             word = data[starts[i]:ends[i]].tobytes()
             if word not in self.odd:
                 self.odd[word] = self.n
-                self._store([word], h[i:i + 1], False)
+                self._store([word], h[i:i + 1], [p[i:i + 1] for p in parts], False)
             found[i] = self.odd[word]
         return found
 
