@@ -27,10 +27,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..staging import stage
+from .word_table import SLICE, WordTable, ragged
 
 CHUNK = 32_768
-#: Characters of text that are solved together.
-SLICE = 8_000_000
+#: Units that are solved together, and units that a worker remembers.
+UNITS, TABLE = 50_000, 1_000_000
 SPACE = "▁"
 NONE, START = -2, -1
 LOWEST = 1 << 40
@@ -360,39 +361,69 @@ class Model:
 
     # -- texts ------------------------------------------------------------------------------------
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each text, whole texts solved together in slices."""
+    def _units(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the units that words make with a space mark before them, solved together in parts."""
+        texts = [SPACE + w.decode("utf-8") for w in words]
+        parts, counts = [np.zeros(0, np.int64)], [np.zeros(1, np.int64)]
+        for a in range(0, len(texts), UNITS):
+            ids, at = self.solve(texts[a:a + UNITS])
+            parts.append(ids)
+            counts.append(np.diff(at))
+        return np.concatenate(parts), np.cumsum(np.concatenate(counts))
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
+        """Ids of the UTF-8 texts ``data[offsets[k]:offsets[k + 1]]``; a unit that was met before is looked up.
+
+        Texts with a space at either end, two spaces together or a space mark are cut into units one by one.
+        """
+        if not hasattr(self, "table"):
+            self.table = WordTable(self._units, TABLE)
         out: list[np.ndarray] = []
         a = 0
-        while a < len(texts):
-            b, held = a, 0
-            while b < len(texts) and (b == a or held + len(texts[b]) <= SLICE):
-                held += len(texts[b])
-                b += 1
-            each = [words_of(t) for t in texts[a:b]]
-            flat = [w for ws in each for w in ws]
-            index = {w: k for k, w in enumerate(dict.fromkeys(flat))}
-            if index:
-                ids, at = self.solve(list(index))
-                which = np.fromiter(map(index.__getitem__, flat), np.int64, len(flat))
-                n = (at[1:] - at[:-1])[which]
-                first = np.repeat(at[which] - np.cumsum(n) + n, n)
-                flat_ids = ids[first + np.arange(len(first))].astype(np.uint32)
-                words_at = np.concatenate([[0], np.cumsum([len(ws) for ws in each])])
-                token_at = np.concatenate([[0], np.cumsum(n)])[words_at]
-                out += [flat_ids[p:q] for p, q in zip(token_at[:-1].tolist(), token_at[1:].tolist(), strict=True)]
-            else:
-                out += [np.zeros(0, np.uint32)] * (b - a)
+        while a < len(offsets) - 1:
+            b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + SLICE, "right")) - 1)
+            out += self._slice(data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a])
             a = b
         return out
 
-    def decode(self, ids: np.ndarray) -> str:
-        """The text of ids: space marks become spaces, the first of them is dropped, bytes are joined to UTF-8."""
+    def _slice(self, data: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
+        sizes = np.diff(at)
+        space = data == 32
+        edge = np.zeros(len(data) + 1, bool)
+        edge[at] = True
+        beside = space & (edge[:-1] | edge[1:])  # a space at an end of a text, or after another
+        beside[1:] |= space[1:] & space[:-1]
+        mark = np.zeros(len(data), bool)
+        mark[2:] = (data[:-2] == 0xE2) & (data[1:-1] == 0x96) & (data[2:] == 0x81)
+        odd = np.zeros(len(sizes), bool)
+        odd[np.searchsorted(at, np.flatnonzero(beside | mark), "right") - 1] = True
+        begins = ~space & edge[:-1]
+        begins[1:] |= ~space[1:] & space[:-1]
+        stops = ~space & edge[1:]
+        stops[:-1] |= ~space[:-1] & space[1:]
+        starts, ends = np.flatnonzero(begins), np.flatnonzero(stops) + 1
+        if odd.any():
+            use = ~odd[np.searchsorted(at, starts, "right") - 1]
+            starts, ends = starts[use], ends[use]
+        ids, n = self.table.gather(self.table.numbers(data, starts, ends))
+        cut = np.concatenate([[0], np.cumsum(n)])[np.searchsorted(starts, at)]
+        out = [ids[p:q] for p, q in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
+        for k in np.flatnonzero(odd).tolist():
+            units = units_of(normal(data[at[k]:at[k + 1]].tobytes().decode("utf-8")))
+            index = {w: i for i, w in enumerate(dict.fromkeys(units))}
+            flat, pos = self.solve(list(index))
+            out[k] = np.concatenate([flat[pos[i]:pos[i + 1]] for i in map(index.__getitem__, units)]).astype(np.uint32)
+        return out
+
+    def decode_bytes(self, ids: np.ndarray) -> bytes:
+        """The UTF-8 bytes of ids: space marks become spaces, and the first of them is dropped."""
         ids = ids.astype(np.int64)
-        n = (self.raw_at[1:] - self.raw_at[:-1])[ids]
-        first = np.repeat(self.raw_at[ids] - np.cumsum(n) + n, n)
-        data = self.raw_data[first + np.arange(len(first))].tobytes()
-        return data.removeprefix(b" ").decode("utf-8", "replace")
+        data = self.raw_data[ragged(self.raw_at[ids], self.raw_at[ids + 1] - self.raw_at[ids])].tobytes()
+        return data.removeprefix(b" ")
+
+    def decode(self, ids: np.ndarray) -> str:
+        """The text of ids; bytes that are no UTF-8 become replacement characters."""
+        return self.decode_bytes(ids).decode("utf-8", "replace")
 
 
 def normal(text: str) -> str:
@@ -405,14 +436,6 @@ def units_of(marked: str) -> list[str]:
     return re.findall(f"{SPACE}*[^{SPACE}]+|{SPACE}+", marked)
 
 
-def words_of(text: str) -> list[str]:
-    if not text:
-        return []
-    if "  " in text or SPACE in text or text[0] == " ":
-        return units_of(normal(text))
-    return (SPACE + text.replace(" ", " " + SPACE)).split(" ")
-
-
 def combine(a: dict, b: dict) -> dict:
     """(max, +) product of two transfer matrices; associative."""
     rows: dict = {}
@@ -467,8 +490,9 @@ def _crc(ids: np.ndarray) -> int:
     return zlib.crc32(ids.astype("<u4").tobytes())
 
 
-def _report(model: Model, doc_ids, texts: list[str], ids: list[np.ndarray], chunks: list[int]) -> pa.RecordBatch:
-    same = [model.decode(i) == t.replace(SPACE, " ") for i, t in zip(ids, texts, strict=True)]
+def _report(model: Model, doc_ids, texts: list[bytes], ids: list[np.ndarray], chunks: list[int]) -> pa.RecordBatch:
+    mark = SPACE.encode()
+    same = [model.decode_bytes(i) == t.replace(mark, b" ") for i, t in zip(ids, texts, strict=True)]
     flat = np.concatenate([np.zeros(0, np.uint32), *ids])
     at = np.concatenate([[0], np.cumsum([len(i) for i in ids])]).astype(np.int32)
     return pa.record_batch(
@@ -494,8 +518,12 @@ def encode(docs: DataFrame, path: str, chunk: int = CHUNK) -> DataFrame:
 
     def short(batches):
         for b in batches:
-            texts = b.column("text").to_pylist()
-            yield _report(shared.value, b.column("doc_id"), texts, shared.value.encode(texts), [1 if t else 0 for t in texts])
+            for a in range(0, b.num_rows, 2000):
+                c = b.slice(a, 2000)
+                text = c.column("text").cast(pa.binary())
+                offsets = np.frombuffer(text.buffers()[1], np.int32)[text.offset:text.offset + len(text) + 1].astype(np.int64)
+                ids = shared.value.encode(np.frombuffer(text.buffers()[2] or b"", np.uint8), offsets)
+                yield _report(shared.value, c.column("doc_id"), text.to_pylist(), ids, np.minimum(np.diff(offsets), 1).tolist())
 
     small = rows.where(F.length("text") <= chunk).mapInArrow(short, OUT)
     giants = rows.where(F.length("text") > chunk)
@@ -544,7 +572,7 @@ def encode(docs: DataFrame, path: str, chunk: int = CHUNK) -> DataFrame:
         for b in batches:
             for doc, parts in zip(b.column("doc_id"), b.column("parts").to_pylist(), strict=True):
                 ids = np.frombuffer(b"".join(p["ids"] for p in parts), "<u4")
-                text = "".join(p["chunk"] for p in parts)[1:].replace(SPACE, " ")
+                text = "".join(p["chunk"] for p in parts)[1:].encode()
                 yield _report(shared.value, pa.array([doc.as_py()], pa.int64()), [text], [ids], [len(parts)])
 
     return small.unionByName(whole.select("doc_id", "parts").mapInArrow(join, OUT))
