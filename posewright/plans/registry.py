@@ -24,3 +24,8 @@ def query(name: str, sql: str | None = None):
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def load() -> None:
+    """Register the queries of all plan modules."""
+    from . import clips, embeddings, series  # noqa: F401
