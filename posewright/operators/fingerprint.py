@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import combined_key, fnv1a_words, murmur3_words, u32
 from ..functions.vectors import quantize
+from ..staging import stage
 
 STEP = 0.01
 
@@ -37,10 +38,11 @@ def fingerprints(streams: DataFrame, words: str = "words") -> DataFrame:
 def duplicate_groups(rows: DataFrame, by: str, ids: Column) -> DataFrame:
     """``by, n, first_id, ids``: groups of more than one row, ids in numeric order (others count as 0).
 
-    Groups are counted before ids are gathered, so that the many singletons are dropped early. A group's
-    ids are one line of the duplicate file.
+    Hashes are computed once and written; groups are counted before ids are gathered, so that the many
+    singletons are dropped early. A group's ids are one line of the duplicate file.
     """
     found = rows.select(F.col(by), ids.cast("string").alias("id"), F.coalesce(ids.cast("string").try_cast("long"), F.lit(0)).alias("number"))
+    found = stage(found, "fingerprint-ids")
     counts = found.groupBy(by).agg(F.count("*").alias("n")).where("n > 1")
     groups = found.join(counts, by).groupBy(by, "n").agg(F.array_sort(F.collect_list(F.struct("number", "id"))).alias("g"))
     return groups.select(by, "n", F.col("g")[0]["number"].alias("first_id"), F.array_join(F.transform("g", lambda x: x["id"]), ",").alias("ids"))

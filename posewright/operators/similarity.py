@@ -1,7 +1,7 @@
 """All pairs of vectors with a cosine at or above a threshold, by blocks with exact pruning.
 
-Equal vectors are one class. Every class is dealt to the block of its nearest pivot, and blocks of many
-classes are split. Two blocks can hold a pair within the angle ``acos(t)`` only if the angle of their
+Equal vectors are one class. Every class is dealt to the block of its nearest pivot (one for every few
+thousand classes, up to a limit), and blocks of many classes are split. Two blocks can hold a pair within the angle ``acos(t)`` only if the angle of their
 pivots, less the blocks' radii, is within it; the block pairs that pass are tasks of one matrix product
 each, done in strips of bounded size.
 """
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ..functions.vectors import unit
 from ..staging import stage
 
-PIVOTS, BLOCK, STRIP = 64, 20_000, 2048
+PIVOTS, PIVOT_ROWS, BLOCK, STRIP = 64, 5_000, 20_000, 2048
 #: Slack for rounding in the pruning bound, in radians.
 SLACK = 1e-6
 
@@ -65,7 +65,8 @@ def similar_pairs(units: DataFrame, threshold: float, forest: bool = False, row:
     list is made on the driver from the blocks alone.
     """
     rows = stage(units.select(F.col(row).alias("row"), F.col(vector).alias("u")).where("u IS NOT NULL"), "units")
-    pivots = np.array([r["u"] for r in rows.orderBy(F.xxhash64("row")).limit(PIVOTS).select("u").collect()], np.float64)
+    wanted = min(PIVOTS, -(-rows.count() // PIVOT_ROWS))
+    pivots = np.array([r["u"] for r in rows.orderBy(F.xxhash64("row")).limit(wanted).select("u").collect()], np.float64)
     spark = units.sparkSession
     if not len(pivots):
         return spark.createDataFrame([], "i long, j long, sim double")
