@@ -17,6 +17,7 @@ from __future__ import annotations
 import os
 import struct
 import zlib
+from functools import cache
 from itertools import chain
 
 import numpy as np
@@ -115,6 +116,12 @@ class Encoder:
         return ids, np.diff(sums[np.searchsorted(starts, offsets)])
 
 
+@cache
+def encoder_of(path: str) -> Encoder:
+    """The worker's encoder, which keeps its words from task to task."""
+    return Encoder(path)
+
+
 #: By byte: 1 white space, 2 comma or point, 3 letter or digit, 0 other; and A-Z to a-z.
 KIND = np.zeros(256, np.uint8)
 KIND[[9, 10, 11, 12, 13, 32]] = 1
@@ -256,17 +263,15 @@ def tokenize(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFrame
     ids = docs.select(F.col("doc_id").cast("long"))
     got = ids.agg(F.percentile_approx("doc_id", [k / n_parts for k in range(1, n_parts)] or [0.5], 10_000)).first()[0]
     bounds = np.unique(np.array(got or [], np.int64))
-    kept: list[Encoder] = []
 
     def run(batches):
-        if not kept:
-            kept.append(Encoder(tokenizer))
+        encoder = encoder_of(tokenizer)
         for b in batches:
             for a in range(0, b.num_rows, 2000):
                 c = b.slice(a, 2000)
                 text = c.column("text").cast(pa.binary())
                 offsets = np.frombuffer(text.buffers()[1], np.int32)[text.offset:text.offset + len(text) + 1].astype(np.int64)
-                flat, at = kept[0].encode(np.frombuffer(text.buffers()[2] or b"", np.uint8), offsets)
+                flat, at = encoder.encode(np.frombuffer(text.buffers()[2] or b"", np.uint8), offsets)
                 rows = [_pack(np.append(flat[p:q], np.uint32(end_id))) for p, q in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
                 doc = c.column("doc_id")
                 part = np.searchsorted(bounds, doc.fill_null(0).to_numpy(zero_copy_only=False), "left") + 1
