@@ -40,6 +40,6 @@ def safe_double(value: Column) -> Column:
 
 def clip_sort_key(name: Column) -> Column:
     """Sort key of ``<anim>-<clip>``: by the two numbers, and names that are none by themselves after these."""
-    a, b = (F.split(name, "-", 2).getItem(k).try_cast("long") for k in (0, 1))
+    a, b = (F.get(F.split(name, "-", 2), F.lit(k)).try_cast("long") for k in (0, 1))
     bad = a.isNull() | b.isNull()
     return F.struct(bad.alias("odd"), F.when(~bad, a).alias("anim"), F.when(~bad, b).alias("clip"), name.alias("name"))
