@@ -325,9 +325,13 @@ class Model:
                 self._leave(out, entry, tail, n - rest, exits, reached + middle)
         return out
 
+    def _whole(self, marked: str) -> np.ndarray:
+        """Ids of whole units of a normalised text, by way of the table."""
+        data = np.frombuffer(marked[1:].replace(SPACE, " ").encode(), np.uint8)
+        return self.encode(data, np.array([0, len(data)]))[0] if len(data) else np.array(self.plain([self.space]), np.int64)
+
     def _sum(self, text: str) -> float:
-        ids, _ = self.solve(units_of(text))
-        return float(self.score[ids].sum())
+        return float(self.score[self._whole(text)].sum())
 
     @staticmethod
     def _leave(out: dict, entry, score: dict, n: int, exits: set, extra: float) -> None:
@@ -347,7 +351,7 @@ class Model:
         rest = max(self._last_reset(text), inner)
         head = self._path(text[:inner], entry, inner, (0, START))
         tail = self._path(whole[rest:], (0, START), n - rest, leave)
-        middle = self.solve(units_of(text[inner:rest]))[0].tolist() if rest > inner else []
+        middle = self._whole(text[inner:rest]).tolist() if rest > inner else []
         return self.plain(head) + middle + self.plain(tail)
 
     def _path(self, text: str, entry, n: int, leave) -> list[int]:
