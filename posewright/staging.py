@@ -12,21 +12,39 @@ import shutil
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
 _local_root: str | None = None
+_roots: dict[str, object] = {}
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where the session names none (tests, local runs)."""
+    """This application's part of the cluster's shared folder, deleted when the driver ends.
+
+    Only where the session names no such folder (tests, local runs) is it a temporary one.
+    """
     global _local_root
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return f"{configured.rstrip('/')}/posewright"
-    if _local_root is None:
-        _local_root = tempfile.mkdtemp(prefix="posewright-")
-        atexit.register(shutil.rmtree, _local_root, ignore_errors=True)
-    return f"file://{_local_root}"
+    if not configured:
+        if _local_root is None:
+            _local_root = tempfile.mkdtemp(prefix="posewright-")
+            atexit.register(shutil.rmtree, _local_root, ignore_errors=True)
+        configured = f"file://{_local_root}"
+    root = f"{configured.rstrip('/')}/posewright/{spark.sparkContext.applicationId}"
+    if root not in _roots:
+        _roots[root] = spark._jvm
+        atexit.register(_remove, root)
+    return root
+
+
+def _remove(root: str) -> None:
+    jvm = _roots.pop(root, None)
+    try:
+        path = jvm.org.apache.hadoop.fs.Path(root)
+        path.getFileSystem(jvm.org.apache.hadoop.conf.Configuration()).delete(path, True)
+    except (Py4JError, OSError):
+        pass  # the JVM has ended already
 
 
 def new_path(spark: SparkSession, name: str) -> str:
