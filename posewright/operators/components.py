@@ -45,7 +45,7 @@ def connected_components(edges: DataFrame, src: str = "i", dst: str = "j") -> Da
             break
         before, many = after, after[0] > LARGE
         large = _star(current, True, many)
-        small = stage(_star(stage(large, "large") if many else large, False, many), "small")
+        small = stage(_star(stage(large, "large") if many else large, False, many), "small", rows=2 * after[0])
         discard(current)
         current = small
     else:

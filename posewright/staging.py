@@ -51,9 +51,18 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
-    """Write ``df`` to the shared folder and read it back; later plans start from the files."""
+#: Rows that one file of a staged table holds at least, where the table's size is known beforehand.
+ROWS_A_FILE, LEAST_FILES = 50_000, 6
+
+
+def stage(df: DataFrame, name: str, compression: str = "zstd", rows: int | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back; later plans start from the files.
+
+    With a bound on its ``rows``, a small table is written to few files.
+    """
     spark = df.sparkSession
+    if rows is not None:
+        df = df.coalesce(max(LEAST_FILES, rows // ROWS_A_FILE))
     path = new_path(spark, name)
     df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
