@@ -24,6 +24,8 @@ WIDTH = 1 << DOUBLINGS
 MIN_WINDOWS, MIN_LITERALS = 6, 4
 #: The benchmark's windows are broadcast up to this many rows of at most 40 bytes, else joined by shuffle.
 BROADCAST_ROWS = 1_000_000
+#: Windows of an item, about, by which the number of files is chosen.
+ROWS_AN_ITEM = 100
 
 # Words that are numbers, units of measure, and common given names.
 NUMBERS = ("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen "
@@ -102,7 +104,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     template. Null and empty texts, of either table, match nothing; a null ``doc_id`` is a value like any
     other; repeated rows count once; an empty table gives an empty result.
     """
-    items = stage(benchmark_windows(benchmark), "benchmark-windows")
+    items = stage(benchmark_windows(benchmark), "benchmark-windows", rows=ROWS_AN_ITEM * benchmark.count())
     small = items.count() <= BROADCAST_ROWS
     rows = docs.where(F.col("text").isNotNull()).select("doc_id", F.xxhash64("text").alias("row"), words(F.col("text")).alias("words"))
     windows = _hashed(rows).select("doc_id", "row", F.posexplode_outer("windows").alias("pos", "hash"))

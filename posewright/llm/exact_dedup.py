@@ -23,7 +23,7 @@ FIRST_DIGIT, GROWTH, MAX_DIGIT = 32, 4, 1 << 20
 BROADCAST_BYTES = 64 << 20
 
 
-def _level(active: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
+def _level(active: DataFrame, width: int, n: int) -> tuple[DataFrame, DataFrame]:
     """Split the groups of ``active`` by one digit; the counted groups and the rows that stay in them.
 
     A digit carries an end mark: a rest that is exactly used up differs from one that goes on.
@@ -38,12 +38,12 @@ def _level(active: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
         dealt.groupBy("gid", "digit", "ended")
         .agg(F.count("*").alias("n"), F.max("doc_id").alias("keep_id"))
         .where("n > 1")
-        .withColumn("next", F.monotonically_increasing_id()), "radix-groups")
+        .withColumn("next", F.monotonically_increasing_id()), "radix-groups", rows=n)
     held = groups.agg(F.coalesce(F.sum(F.octet_length("digit") + 64), F.lit(0))).first()[0]
     near = F.broadcast(groups) if held <= BROADCAST_BYTES else groups
     rows = dealt.join(near, ["gid", "digit", "ended"]).select(
         F.col("next").alias("gid"), "doc_id", "text_sha256", "rest", "ended", "n", "keep_id")
-    return groups, stage(rows, "radix-rows")
+    return groups, stage(rows, "radix-rows", rows=n if width > FIRST_DIGIT else None)
 
 
 def classes(docs: DataFrame) -> DataFrame | None:
@@ -51,18 +51,17 @@ def classes(docs: DataFrame) -> DataFrame | None:
     active = docs.select(F.lit(0).cast("long").alias("gid"), "doc_id",
                          F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"),
                          F.col("text").cast("binary").alias("rest"))
-    width, found, old = FIRST_DIGIT, [], None
+    width, found, n = FIRST_DIGIT, [], docs.count()
     while True:
-        groups, rows = _level(active, width)
+        groups, rows = _level(active, width, n)
         going = rows.where(~F.col("ended"))
         found.append(rows.where("ended").select("doc_id", "text_sha256", "keep_id", F.col("n").alias("group_size")))
         discard(groups)
-        old = rows
-        if going.isEmpty():
+        n = going.count()
+        if not n:
             break
         active = going.select("gid", "doc_id", "text_sha256", "rest")
         width = min(width * GROWTH, MAX_DIGIT)
-    del old
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)

@@ -110,16 +110,28 @@ def trie_links(fps: np.ndarray, bucket: np.ndarray, order: tuple[int, ...], max_
     def zeros(depth):
         if depth not in zeros_at:
             bit = (fps >> np.uint64(order[depth])) & np.uint64(1)
-            zeros_at[depth] = np.r_[0, np.cumsum(bit == 0)]
+            zeros_at[depth] = np.r_[0, np.cumsum(bit == 0, dtype=np.int32)].astype(np.int32)
         return zeros_at[depth]
 
     stack = [(0, lo[keep], hi[keep], lo[keep], hi[keep], np.zeros(int(keep.sum()), np.int8))]
+    linked, turns = False, np.arange(n)
     while stack:
         depth, al, ah, bl, bh, diff = stack.pop()
         if len(al) > STEP:
-            for s in range(0, len(al), STEP):
-                stack.append((depth, *(x[s:s + STEP] for x in (al, ah, bl, bh, diff))))
+            # Nodes with themselves go first, then the nearest pairs: what they link need not be walked again.
+            at = np.lexsort((diff, al != bl))
+            for s in range((len(al) - 1) // STEP * STEP, -1, -STEP):
+                stack.append((depth, *(x[at[s:s + STEP]] for x in (al, ah, bl, bh, diff))))
             continue
+        if linked:
+            turns[0] = 0
+            turns[1:] = np.cumsum(label[1:] != label[:-1])
+            linked = False
+        # Two nodes whose leaves are all in one tree already can add no link to the forest.
+        done = (label[al] == label[bl]) & (turns[al] == turns[ah - 1]) & (turns[bl] == turns[bh - 1])
+        done &= (ah - al > 1) | (al != bl)
+        if done.any():
+            al, ah, bl, bh, diff = (x[~done] for x in (al, ah, bl, bh, diff))
         same = al == bl
         single = (ah - al == 1) & (bh - bl == 1)
         # Two leaves are compared at once; a leaf with itself is no link.
@@ -128,13 +140,13 @@ def trie_links(fps: np.ndarray, bucket: np.ndarray, order: tuple[int, ...], max_
             x, y = al[leaf], bl[leaf]
             near = np.bitwise_count(fps[x] ^ fps[y]) <= max_bits
             if near.any():
-                label = _forest(n, x[near], y[near], label)
+                label, linked = _forest(n, x[near], y[near], label), True
         rest = ~single
         if depth == len(order) or not rest.any():
             if rest.any():  # equal on all bits: fingerprints are distinct, so this holds only for repeats
                 spread = np.repeat(al[rest], (ah - al)[rest])
                 inside = np.concatenate([np.arange(p, q) for p, q in zip(al[rest], ah[rest], strict=True)])
-                label = _forest(n, spread, inside, label)
+                label, linked = _forest(n, spread, inside, label), True
             continue
         al, ah, bl, bh, diff, same = al[rest], ah[rest], bl[rest], bh[rest], diff[rest], same[rest]
         z = zeros(depth)
@@ -148,11 +160,8 @@ def trie_links(fps: np.ndarray, bucket: np.ndarray, order: tuple[int, ...], max_
                 ok &= use
             parts.append((pl[ok], ph[ok], ql[ok], qh[ok], diff[ok] + np.int8(cost)))
         al, ah, bl, bh, diff = (np.concatenate(x) for x in zip(*parts, strict=True))
-        # Node pairs that are wholly in one tree already can add no link to the forest.
-        whole = (ah - al == 1) & (bh - bl == 1) & (label[al] == label[bl])
-        keep = ~whole
-        if keep.any():
-            stack.append((depth + 1, al[keep], ah[keep], bl[keep], bh[keep], diff[keep]))
+        if len(al):
+            stack.append((depth + 1, al, ah, bl, bh, diff))
     child = np.flatnonzero(label != np.arange(n))
     return child, label[child]
 
@@ -198,13 +207,14 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
 def labelled(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
     """``doc_id, key, fp, component_id, component_size`` and the component's own number, of every row."""
     rows = stage(fingerprints(docs, shingle), "simhash-rows")
-    nodes = stage(rows.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count("*").alias("n")), "simhash-nodes")
-    joined = stage(links(nodes.select("fp"), max_bits).distinct(), "simhash-links")
+    n = rows.count()
+    nodes = stage(rows.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count("*").alias("n")), "simhash-nodes", rows=n)
+    joined = stage(links(nodes.select("fp"), max_bits).distinct(), "simhash-links", rows=n)
     parts = connected_components(joined)
     named = stage(nodes.join(parts, nodes["fp"] == parts["node"], "left").select(
-        "fp", "low", "n", F.coalesce("component", "fp").alias("component")), "simhash-named")
+        "fp", "low", "n", F.coalesce("component", "fp").alias("component")), "simhash-named", rows=n)
     heads = named.groupBy("component").agg(F.min("low").alias("component_id"), F.sum("n").alias("component_size"))
-    label = stage(named.join(heads, "component").select("fp", "component", "component_id", "component_size"), "simhash-labels")
+    label = stage(named.join(heads, "component").select("fp", "component", "component_id", "component_size"), "simhash-labels", rows=n)
     return rows.join(label, "fp")
 
 
