@@ -173,11 +173,15 @@ def fit(y: np.ndarray, has: list[np.ndarray], vocabulary: list[str], ridge: floa
     return Model({v: float(c) for v, c in zip(vocabulary, w, strict=True)}, b)
 
 
-def train(rows: DataFrame, sample: int = SAMPLE) -> Model:
-    """Fit on about ``sample`` of the rows ``doc_id, text, toxic``; rows with a null label are ignored."""
-    rows = rows.where(F.col("toxic").isNotNull()).select("doc_id", "text", F.col("toxic").cast("int").alias("toxic"))
-    n = rows.count()
-    some = stage(rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < min(1.0, sample / max(n, 1)) * (1 << 30)), "toxic-sample")
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
+    """Fit on about ``sample`` labelled documents, chosen by a hash of the id; null ids and labels are ignored.
+
+    The chosen labels are broadcast, so that texts are not shuffled to meet them.
+    """
+    known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
+    n = known.count()
+    chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < min(1.0, sample / max(n, 1)) * (1 << 30))
+    some = stage(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), "toxic-sample")
     n, toxic = some.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     if not n:
         return Model({}, 0.0)
@@ -200,9 +204,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
     null id or label is none. Null and empty texts get the score of a text without words. Without any
     label every score is one half. Repeated rows are scored each; an empty table gives an empty result.
     """
-    known = labels.where(~held_out() & F.col("doc_id").isNotNull()).select("doc_id", "toxic")
-    model = train(docs.select("doc_id", "text").join(known, "doc_id"))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels.where(~held_out())))
 
     def run(batches):
         for b in batches:
