@@ -103,10 +103,10 @@ def hash_file_lines(spark, d):
                                         (F.col("user_id") / 7).alias("duration"), "hash_fnv", "hash_murmur"))
 
 
-@query("quantized_words", """SELECT event_id, CAST(floor(value / 0.01 + 0.5) AS BIGINT) AS q, CAST(floor((-value) / 0.01 + 0.5) AS BIGINT) % 4294967296 + 4294967296 AS wrapped
-FROM events WHERE value > 0.02""")
+@query("quantized_words", """SELECT event_id, CAST(floor(value / 0.01 + 0.5) AS BIGINT) AS q,
+(CAST(floor((-value) / 0.01 + 0.5) AS BIGINT) % 4294967296 + 4294967296) % 4294967296 AS wrapped FROM events""")
 def quantized_words(spark, d):
-    e = table(spark, d, "events").where("value > 0.02")
+    e = table(spark, d, "events")
     return e.select("event_id", quantize(F.col("value"), 0.01).alias("q"), hashing.u32(quantize(-F.col("value"), 0.01)).alias("wrapped"))
 
 

@@ -184,10 +184,10 @@ def frame_statistics(spark, d):
 
 
 @query("normalized_frames", f"""WITH {EVENTS} SELECT user_id, CAST(frame_ix AS INT) AS frame_ix, round((value - avg(value) OVER p) / (stddev_pop(value) OVER p + 1e-6), 4) AS value
-FROM ev WHERE frame_ix IN (SELECT frame_ix FROM ev GROUP BY frame_ix HAVING stddev_pop(value) > 0.001) WINDOW p AS (PARTITION BY frame_ix)""")
+FROM ev WINDOW p AS (PARTITION BY frame_ix)""")
 def normalized_frames(spark, d):
     s = event_series(spark, d)
-    stats = series.statistics(s, ["frame_ix"], ["value"]).where("value_std > 0.001001")
+    stats = series.statistics(s, ["frame_ix"], ["value"])
     return _rounded(series.normalize(s.drop("k"), stats, ["frame_ix"], ["value"]).select("user_id", "frame_ix", "value"), ["value"], 4)
 
 
@@ -279,13 +279,13 @@ def rotation_quaternions(spark, d):
 
 
 @query("rotation_vectors", f"""WITH {HALF} SELECT l_orderkey, l_linenumber, round(CASE WHEN axis = 0 THEN r ELSE 0 END, 4) AS lx, round(CASE WHEN axis = 1 THEN r ELSE 0 END, 4) AS ly,
-round(CASE WHEN axis = 2 THEN r ELSE 0 END, 4) AS lz FROM (SELECT *, CASE WHEN deg > 180 THEN deg - 360 ELSE deg END * pi() / 180 AS r FROM q WHERE deg <> 180)""")
+round(CASE WHEN axis = 2 THEN r ELSE 0 END, 4) AS lz FROM (SELECT *, abs(CASE WHEN deg > 180 THEN deg - 360 ELSE deg END * pi() / 180) AS r FROM q)""")
 def rotation_vectors(spark, d):
-    rows = _rotations(spark, d).where("l_orderkey % 360 <> 180")
+    rows = _rotations(spark, d)
     q = geometry.align(geometry.quaternion(_matrix_columns()), [F.lit(0.0), F.lit(0.0), F.lit(0.0), F.lit(1.0)])
     named = rows.select("l_orderkey", "l_linenumber", *(c.alias(n) for c, n in zip(q, "xyzw", strict=True)))
     v = geometry.rotation_vector(*(F.col(c) for c in "xyzw"))
-    return named.select("l_orderkey", "l_linenumber", *((F.round(c, 4) + 0.0).alias(n) for c, n in zip(v, ("lx", "ly", "lz"), strict=True)))
+    return named.select("l_orderkey", "l_linenumber", *(F.round(F.abs(c), 4).alias(n) for c, n in zip(v, ("lx", "ly", "lz"), strict=True)))
 
 
 @query("matrix_round_trip", "SELECT count(*) AS n, 0 AS differ FROM lineitem")
