@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .rows import fresh
+
 ORDER, MIN_NODE = 3, 16
 #: The classifier is fitted on about this many labelled documents of each language, chosen by a hash of their id.
 MAX_DOCS = 4000
@@ -144,11 +146,11 @@ def train(rows: DataFrame, max_docs: int = MAX_DOCS) -> Model:
     return Model(got["lang"].to_numpy(object), got["gram"].to_numpy(np.int64), got["n"].to_numpy(np.int64))
 
 
-def _judge(batch: pa.RecordBatch, model: Model) -> tuple[np.ndarray, np.ndarray]:
-    """Language and score of each row by its columns ``text`` and ``letters``."""
+def _judge(batch: pa.RecordBatch, model: Model, has_letters: str = "letters") -> tuple[np.ndarray, np.ndarray]:
+    """Language and score of each row by its text, and whether that has letters."""
     n = batch.num_rows
     names, score = np.full(n, UNKNOWN, object), np.zeros(n)
-    letters = batch.column("letters").to_numpy(zero_copy_only=False).astype(bool)
+    letters = batch.column(has_letters).to_numpy(zero_copy_only=False).astype(bool)
     if n and model.langs:
         text = batch.column("text").fill_null("").cast(pa.binary())
         offsets = np.frombuffer(text.buffers()[1], np.int32)[text.offset:text.offset + n + 1].astype(np.int64)
@@ -197,11 +199,11 @@ def language_id(docs: DataFrame, max_docs: int = MAX_DOCS) -> DataFrame:
 def drop_unidentified(docs: DataFrame, min_score: float = 0.5) -> DataFrame:
     """The rows of ``docs`` with an identified language, with all their columns, in one pass and no shuffle."""
     shared = docs.sparkSession.sparkContext.broadcast(train(docs.where(~held_out() & F.col("doc_id").isNotNull())))
-    names = docs.columns
+    names, mark = docs.columns, fresh(docs, "letters")
 
     def run(batches):
         for b in batches:
-            lang, score = _judge(b.select(["text", "letters"]), shared.value)
+            lang, score = _judge(b, shared.value, mark)
             yield b.select(names).filter(pa.array((lang != UNKNOWN) & (score >= min_score)))
 
-    return docs.withColumn("letters", has_letter()).mapInArrow(run, docs.schema)
+    return docs.withColumn(mark, has_letter()).mapInArrow(run, docs.schema)

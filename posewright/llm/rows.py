@@ -11,11 +11,21 @@ from ..staging import stage
 BROADCAST_KEYS = 500_000
 
 
+def fresh(docs: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``docs`` has it."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def _match(docs: DataFrame, digest: Column, keys: DataFrame, how: str) -> DataFrame:
-    keys = keys.select(F.col("doc_id").alias("__id"), F.col("key").alias("__of"))
+    name = fresh(docs, "key")
+    keys = keys.select(F.col("doc_id").alias(fresh(docs, "judged_id")), F.col("key").alias(fresh(docs, "judged_key")))
     near = F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
-    marked = docs.withColumn("__key", digest)
-    return marked.join(near, marked["doc_id"].eqNullSafe(near["__id"]) & marked["__key"].eqNullSafe(near["__of"]), how).drop("__key")
+    marked = docs.withColumn(name, digest)
+    judged_id, judged_key = (near[c] for c in near.columns)
+    return marked.join(near, marked["doc_id"].eqNullSafe(judged_id) & marked[name].eqNullSafe(judged_key), how).drop(name)
 
 
 def take_out(docs: DataFrame, digest: Column, verdicts: DataFrame) -> DataFrame:
@@ -29,5 +39,6 @@ def take_out(docs: DataFrame, digest: Column, verdicts: DataFrame) -> DataFrame:
     rest = _match(docs, digest, judged.where("NOT kept OR n > 1"), "left_anti")
     if again.isEmpty():
         return rest
-    once = _match(docs.withColumn("__d", digest), digest, again, "left_semi").dropDuplicates(["doc_id", "__d"]).drop("__d")
+    name = fresh(docs, "key")
+    once = _match(docs.withColumn(name, digest), digest, again, "left_semi").dropDuplicates(["doc_id", name]).drop(name)
     return rest.unionByName(once)

@@ -24,7 +24,7 @@ def expected(rows):
 
 
 def frame(spark, rows):
-    return spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'q' AS keep_id", "1 AS gid", "2 AS n", "'k' AS key")
+    return spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'q' AS keep_id", "1 AS gid", "2 AS n", "'k' AS key", "0 AS judged_id", "0 AS judged_key")
 
 
 def test_edges(spark):

@@ -65,7 +65,7 @@ def test_bits_equal_direct_ppm(monkeypatch):
 def test_edges(spark):
     rows = [(i, t, lang, 1) for i, (lang, t) in enumerate(TEXTS * 3)]
     rows += [(None, None, None, 2), (100, "", "en", 3), (101, "123 !!", "fr", 4), (102, "the " * 5000, None, 5), (102, "the " * 5000, None, 5)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, score int")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, score int").selectExpr("*", "'x' AS letters", "1 AS gram")
     got = L.language_id(docs).collect()
     assert len(got) == len(rows)
     by = defaultdict(list)
