@@ -129,3 +129,35 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     bad = stage(decontaminate(docs, benchmark).select(F.col("doc_id").alias("bad_id")).distinct(), "contaminated")
     near = F.broadcast(bad) if bad.count() <= BROADCAST_ROWS else bad
     return docs.join(near, docs["doc_id"].eqNullSafe(near["bad_id"]), "left_anti")
+
+
+def _oracle() -> str:
+    """The same pairs in DuckDB SQL, with windows as strings."""
+    listed = lambda words_: ", ".join(f"'{w}'" for w in words_)
+    number = r"[\p{L}\p{N}]*\p{N}(?:[.,]\p{N}(?:[\p{L}\p{N}]*\p{N})?)*[.,]\p{N}[\p{L}\p{N}]*|[\p{L}\p{N}]+"
+    kind = f"CASE WHEN (x >= '0' AND x < ':') OR x IN ({listed(NUMBERS)}) THEN '#n' WHEN x IN ({listed(UNITS)}) THEN '#u' WHEN x IN ({listed(NAMES)}) THEN '#p' END"
+    ahead = " || ' ' || ".join(["c", *(f"lead(c, {k}) OVER o" for k in range(1, WIDTH))])
+    marks = " + ".join(["m", *(f"coalesce(lead(m, {k}) OVER o, 0)" for k in range(1, WIDTH))])
+    later = lambda side: " UNION ALL ".join(
+        f"SELECT h.n, {k} AS k, t.x, t.m FROM hits h JOIN typed t ON t.r = h.{side}r AND t.q = h.{side}q + {k} WHERE h.slots > 0" for k in range(WIDTH))
+    return f"""
+WITH texts AS (SELECT *, row_number() OVER () AS r FROM (SELECT DISTINCT 'd' AS side, doc_id AS id, text FROM documents WHERE text IS NOT NULL
+  UNION ALL SELECT DISTINCT 'b', item_id, text FROM benchmark WHERE text IS NOT NULL)),
+split AS (SELECT side, id, r, regexp_extract_all(lower(text), '{number}') AS w FROM texts),
+words AS (SELECT side, id, r, len(w) AS size, unnest(w) AS x, generate_subscripts(w, 1) AS q FROM split),
+typed AS (SELECT *, ({kind} IS NOT NULL)::INT AS m, coalesce({kind}, x) AS c FROM words),
+spans AS (SELECT side, id, r, size, q, {ahead} AS s, {marks} AS slots FROM typed WINDOW o AS (PARTITION BY r ORDER BY q)),
+shorts AS (SELECT side, id, r, size, 1 AS q, string_agg(c, ' ' ORDER BY q) || ' $' AS s, sum(m) AS slots FROM typed WHERE size < {WIDTH} GROUP BY side, id, r, size),
+win AS (SELECT * FROM spans WHERE s IS NOT NULL UNION ALL SELECT * FROM shorts),
+items AS (SELECT *, count(DISTINCT q) OVER (PARTITION BY id) AS n_windows FROM win WHERE side = 'b' AND least(size, {WIDTH}) - slots >= least(size, {MIN_LITERALS})),
+hits AS (SELECT row_number() OVER () AS n, d.id AS doc_id, d.r AS dr, d.q AS dq, i.id AS item_id, i.r AS br, i.q AS bq, i.slots, n_windows FROM win d JOIN items i ON d.s = i.s WHERE d.side = 'd'),
+dw AS ({later("d")}), bw AS ({later("b")}),
+bad AS (SELECT dr, br, dq - bq AS shift FROM hits JOIN dw USING (n) JOIN bw USING (n, k) WHERE bw.m = 1 GROUP BY ALL
+  HAVING count(DISTINCT (dw.x, bw.x)) > count(DISTINCT dw.x) OR count(DISTINCT (dw.x, bw.x)) > count(DISTINCT bw.x)),
+good AS (SELECT * FROM hits h WHERE NOT EXISTS (SELECT 1 FROM bad WHERE bad.dr = h.dr AND bad.br = h.br AND bad.shift = h.dq - h.bq)),
+found AS (SELECT doc_id, dr, item_id, n_windows, count(DISTINCT bq) AS n FROM good GROUP BY ALL HAVING count(DISTINCT bq) >= least(n_windows, {MIN_WINDOWS}))
+SELECT doc_id, item_id, max(n) AS matched_windows, max(n_windows) AS item_windows, max(n)::DOUBLE / max(n_windows) AS coverage FROM found GROUP BY doc_id, item_id
+"""
+
+
+ORACLE_SQL = _oracle()

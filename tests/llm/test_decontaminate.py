@@ -2,6 +2,7 @@
 
 import re
 
+import duckdb
 from posewright.llm import decontaminate as D
 
 ITEMS = [(1, "Tom has 3 apples and Anna gives him 5 more apples. How many apples does Tom have after 2 days of rain?"),
@@ -64,6 +65,15 @@ def test_equals_direct(spark):
     assert {(1, 1), (2, 1), (4, 2), (None, 2), (11, 7), (12, 2), (6, 3)} == pairs
 
 
+def test_equals_sql(spark):
+    con = duckdb.connect()
+    for name, rows in (("documents", DOCS), ("benchmark", ITEMS)):
+        con.sql(f"CREATE TABLE {name} ({'doc_id' if name == 'documents' else 'item_id'} BIGINT, text VARCHAR)")
+        con.executemany(f"INSERT INTO {name} VALUES (?, ?)", rows)
+    want = con.sql(D.ORACLE_SQL).fetchall()
+    assert want and sorted(want, key=repr) == sorted(map(tuple, D.decontaminate(*frames(spark)).collect()), key=repr)
+
+
 def test_shuffle_join_gives_the_same(spark, monkeypatch):
     monkeypatch.setattr(D, "BROADCAST_ROWS", -1)
     assert {tuple(r)[:4] for r in D.decontaminate(*frames(spark)).collect()} == direct(DOCS, ITEMS)
