@@ -21,19 +21,23 @@ from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..staging import shared_root
+from ..staging import shared_root, stage
 
 #: Rules of the registered query, in the order given.
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
-#: A file of more rules than this (about 100 bytes each) is refused; join such a list with the URLs as tables.
+#: A file of more rules than this (about 100 bytes each) is refused; ``url_filter_by_join`` takes lists of any size.
 MAX_RULES = 50_000_000
 ALLOW, BLOCK = "allow", "block"
 
 
 def host_of(url: Column) -> Column:
     """What follows the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z lower-cased; else empty."""
-    host = F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)\A.*?://([^/?#]*)", 1)
-    return F.translate(host, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)\A.*?://([^/?#]*)", 1))
+
+
+def lower(text: Column) -> Column:
+    """A-Z to a-z; other letters stay."""
+    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
 def path_of(url: Column) -> Column:
@@ -55,7 +59,7 @@ class Rules:
         verdict = {}
         for what, text in rules:
             host, slash, path = text.partition("/")
-            verdict[host.lower().encode() + (slash + path).encode()] = what == BLOCK
+            verdict[host.encode().lower() + (slash + path).encode()] = what == BLOCK
         texts = sorted(verdict, key=lambda t: (xxhash.xxh64_intdigest(t), t))
         keys = np.array([xxhash.xxh64_intdigest(t) for t in texts], "<u8")
         at = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype("<i8")
@@ -144,6 +148,29 @@ def url_filter(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES) -> Da
     return rows.mapInArrow(run, "page_id long, host string, path string, rule string, verdict string")
 
 
+def url_filter_by_join(pages: DataFrame, rules: DataFrame) -> DataFrame:
+    """The same for a table of rules ``what, text`` of any size: candidates and rules meet by their digests.
+
+    A URL has a candidate for each host suffix and each length that some rule's path has; the lengths are
+    few. The string decides after the digest, and the longest rule of a URL is found by grouping.
+    """
+    slash = F.instr("text", "/")
+    listed = rules.select("what", F.when(slash > 0, F.concat(lower(F.substring_index("text", "/", 1)), F.expr("substring(text, instr(text, '/'))")))
+                          .otherwise(lower(F.col("text"))).alias("text")).dropDuplicates(["text"])
+    lengths = sorted(r[0] for r in listed.select(F.when(F.instr("text", "/") > 0, F.length("text") - F.instr("text", "/") + 1).otherwise(0)).distinct().collect())
+    rows = stage(pages.select(F.col("page_id").cast("long"), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
+                 .withColumn("rid", F.monotonically_increasing_id()), "url-rows")
+    labels = F.split("host", r"\.")
+    hosts = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
+    cuts = F.filter(F.array(*map(F.lit, lengths or [0])), lambda n: n <= F.length("path"))
+    each = rows.select("rid", "path", F.explode(hosts).alias("h"), cuts.alias("cuts")).select("rid", "h", "path", F.explode("cuts").alias("n"))
+    candidates = each.select("rid", F.concat("h", F.expr("substring(path, 1, n)")).alias("candidate")).withColumn("digest", F.xxhash64("candidate"))
+    met = candidates.join(listed.withColumn("digest", F.xxhash64("text")), "digest").where("candidate = text")
+    best = met.groupBy("rid").agg(F.max_by(F.struct("text", "what"), F.struct(F.octet_length("text"), "text")).alias("b")).select(
+        "rid", F.col("b.text").alias("rule"), F.col("b.what").alias("verdict"))
+    return rows.join(best, "rid", "left").select("page_id", "host", "path", "rule", F.coalesce("verdict", F.lit(ALLOW)).alias("verdict"))
+
+
 def _oracle() -> str:
     listed = ", ".join(f"('{what}', '{text}', '{text.partition('/')[0]}', '/{text.partition('/')[2]}')" for what, text in RULES)
     return f"""

@@ -33,6 +33,15 @@ def test_edges(spark):
     assert U.url_filter(spark.createDataFrame([], "page_id long, url string")).collect() == []
 
 
+def test_join_gives_the_same(spark):
+    more = [*U.RULES, ("block", "h"), ("allow", "b/"), ("block", "example.org/en/19"), ("block", "ÉA.net/é")]
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(URLS)] + [(1, URLS[1])], "page_id long, url string")
+    got = U.url_filter_by_join(pages, spark.createDataFrame(more, "what string, text string"))
+    key = lambda df: sorted(map(tuple, df.collect()), key=repr)
+    assert key(got) == key(U.url_filter(pages, more))
+    assert key(U.url_filter_by_join(pages, spark.createDataFrame([], "what string, text string"))) == key(U.url_filter(pages, ()))
+
+
 def test_equals_sql(spark):
     d = "/root/testdata/sf0.01"
     got = sorted(map(tuple, U.url_filter(spark.read.parquet(f"{d}/pages.parquet")).collect()))
