@@ -27,12 +27,16 @@ def exact_duplicates(poses: DataFrame, key: Sequence[str], ids: str) -> dict[str
     return {"fingerprints": hashed} | {f"by_{n}": fingerprint.duplicate_groups(hashed, f"hash_{n}", F.col(ids)) for n in ("fnv", "murmur", "key")}
 
 
-def near_duplicates(frames: DataFrame, key: str, values: Sequence[str], size: int, layers: encode.Layers, threshold: float) -> DataFrame:
+def near_duplicates(frames: DataFrame, key: str, values: Sequence[str], size: int, layers: encode.Layers, threshold: float,
+                    derivative: bool = False) -> DataFrame:
     """``key, component, group_id``: clips resampled, standardised by position, embedded and grouped by cosine.
 
+    With ``derivative`` the resampled frames are replaced by their differences, as the second encoder expects.
+
     The statistics are one row for each of the ``size`` frames, so their arrays fit any task.
     """
-    even = stage(series.pad_or_sample(frames, [key], values, size), "flow-frames")
+    even = series.pad_or_sample(frames, [key], values, size)
+    even = stage(series.derivative(even, [key], values) if derivative else even, "flow-frames")
     stats = {r["frame_ix"]: r for r in series.statistics(even, ["frame_ix"], values).collect()}
     mean = np.array([stats[k][f"{v}_mean"] for k in sorted(stats) for v in values])
     std = np.array([stats[k][f"{v}_std"] for k in sorted(stats) for v in values])

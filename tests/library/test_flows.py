@@ -15,10 +15,11 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 registry.load()
 
 
-def test_near_duplicates_equal_numpy(spark):
+@pytest.mark.parametrize("derivative", [False, True])
+def test_near_duplicates_equal_numpy(spark, derivative):
     frames = event_series(spark, DATA)
     layers = encode.Layers.formula((120, 32, 16))
-    got = {r.user_id: r.component for r in flows.near_duplicates(frames, "user_id", ["value", "k"], 60, layers, 0.9).collect()}
+    got = {r.user_id: r.component for r in flows.near_duplicates(frames, "user_id", ["value", "k"], 60, layers, 0.9, derivative).collect()}
     clips = {}
     for r in frames.orderBy("user_id", "frame_ix").collect():
         clips.setdefault(r.user_id, []).append((r.value, r.k))
@@ -27,7 +28,10 @@ def test_near_duplicates_equal_numpy(spark):
     for i in ids:
         c = np.array(clips[i])
         at = np.linspace(0, len(c) - 1, 60).astype(np.int64) if len(c) > 60 else np.minimum(np.arange(60), len(c) - 1)
-        x.append(c[at].ravel())
+        c = c[at]
+        if derivative:
+            c = np.concatenate([np.diff(c, axis=0)[:1], np.diff(c, axis=0)])
+        x.append(c.ravel())
     x = np.array(x)
     z = layers.forward((x - x.mean(axis=0)) / (x.std(axis=0) + 1e-6))
     z /= np.linalg.norm(z, axis=1, keepdims=True)
