@@ -196,8 +196,11 @@ def language_id(docs: DataFrame, max_docs: int = MAX_DOCS) -> DataFrame:
     return predict(docs, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
-def drop_unidentified(docs: DataFrame, min_score: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` with an identified language, with all their columns, in one pass and no shuffle."""
+def drop_unidentified(docs: DataFrame, min_score: float = 0.0) -> DataFrame:
+    """The rows of ``docs`` with an identified language, with all their columns, in one pass and no shuffle.
+
+    Only ``und`` is rejected, unless a least score is given: a short text that fits two languages is no junk.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(train(docs.where(~held_out() & F.col("doc_id").isNotNull())))
     names, mark = docs.columns, fresh(docs, "letters")
 
