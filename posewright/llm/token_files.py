@@ -144,6 +144,17 @@ class Tables:
             raise ValueError("too many symbols for the range")
         freq = 1 + np.floor(counts / counts.sum() * (whole - len(self.ids))).astype(np.int64)
         freq[np.argmax(counts)] += whole - freq.sum()
+        self._index(freq)
+
+    @classmethod
+    def stored(cls, ids: np.ndarray, freq: np.ndarray) -> Tables:
+        """Tables as they were written."""
+        out = cls.__new__(cls)
+        out.ids = ids.astype(np.int64)
+        out._index(freq.astype(np.int64))
+        return out
+
+    def _index(self, freq: np.ndarray) -> None:
         self.freq = freq.astype(np.uint64)
         self.start = (np.cumsum(freq) - freq).astype(np.uint64)
         self.symbol_at = np.repeat(np.arange(len(freq), dtype=np.uint16 if len(freq) <= 1 << 16 else np.uint32), freq)
@@ -239,6 +250,13 @@ def _pack(ids: np.ndarray) -> tuple[bytes, bytes, bytes]:
     return planes[:, 0].tobytes(), planes[:, 1].tobytes(), high.tobytes() if high.any() else b""
 
 
+def _slices(batches, rows: int = 256):
+    """The rows of batches, few at a time: an id takes ten times its packed size while it is worked on."""
+    for b in batches:
+        for a in range(0, b.num_rows, rows):
+            yield b.slice(a, rows)
+
+
 def _unpack(low: pa.Array, mid: pa.Array, high: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all rows in one array, and the rows' lengths."""
     lows = low.to_pylist()
@@ -292,7 +310,7 @@ def count_ids(tokens: DataFrame) -> Tables:
 
     def run(batches):
         total = np.zeros(0, np.int64)
-        for b in batches:
+        for b in _slices(batches):
             n = np.bincount(_unpack(*b.columns)[0])
             if len(n) > len(total):
                 n, total = total, n
@@ -326,7 +344,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, end_id: int = END_I
             held.clear()
             return row
 
-        for b in batches:
+        for b in _slices(batches):
             ids, sizes = _unpack(b.column("low"), b.column("mid"), b.column("high"))
             ends = np.cumsum(sizes)
             begin = np.array([first[p] for p in b.column("part").to_pylist()], np.int64) + b.column("offset").to_numpy()
@@ -358,13 +376,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, end_id: int = END_I
 
 def read_tables(spark: SparkSession, path: str) -> Tables:
     row = spark.read.parquet(f"{path}/tables").first()
-    out = Tables(np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["freq"], "<u8").astype(np.int64))
-    freq = np.frombuffer(row["freq"], "<u8").astype(np.int64)
-    out.freq = freq.astype(np.uint64)
-    out.start = (np.cumsum(freq) - freq).astype(np.uint64)
-    out.symbol_at = np.repeat(np.arange(len(freq), dtype=out.symbol_at.dtype), freq)
-    out.checksum = zlib.crc32(out.ids.tobytes() + out.freq.tobytes())
-    return out
+    return Tables.stored(np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["freq"], "<u8"))
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:

@@ -12,7 +12,7 @@ from collections.abc import Callable
 import numpy as np
 
 #: Bytes whose words are looked up together, and words after which the table is emptied.
-SLICE, LIMIT = 1 << 20, 1_000_000
+SLICE, LIMIT = 1 << 20, 700_000
 MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 MIX = [np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
 
