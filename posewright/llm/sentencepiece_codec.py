@@ -31,7 +31,7 @@ from .word_table import SLICE, WordTable, ragged
 
 CHUNK = 32_768
 #: Units that are solved together, and units that a worker remembers.
-UNITS, TABLE = 50_000, 1_000_000
+UNITS, TABLE = 20_000, 700_000
 SPACE = "▁"
 NONE, START = -2, -1
 LOWEST = 1 << 40
