@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..constants import FEATURES_PER_BONE
+from .hashing import let
 
 
 def quantize(x: Column, step: float) -> Column:
@@ -25,13 +26,13 @@ def norm(a: Column) -> Column:
 
 def unit(a: Column, floor: float = 1e-10) -> Column:
     """The vector over its length, or over ``floor`` if that is more."""
-    return F.transform(a, lambda x: x.cast("double") / F.greatest(norm(a), F.lit(floor)))
+    return let(F.greatest(norm(a), F.lit(floor)), lambda n: F.transform(a, lambda x: x.cast("double") / n))
 
 
 def cosine(a: Column, b: Column, least: float = 1e-9) -> Column:
     """Cosine of two vectors; zero if either is shorter than ``least``."""
-    na, nb = norm(a), norm(b)
-    return F.when((na < least) | (nb < least), 0.0).otherwise(dot(a, b) / (na * nb))
+    sizes = F.struct(norm(a).alias("a"), norm(b).alias("b"))
+    return let(sizes, lambda n: F.when((n["a"] < least) | (n["b"] < least), 0.0).otherwise(dot(a, b) / (n["a"] * n["b"])))
 
 
 def standardize(x: Column, mean: Column, std: Column) -> Column:

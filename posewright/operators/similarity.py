@@ -64,7 +64,7 @@ def similar_pairs(units: DataFrame, threshold: float, forest: bool = False, row:
     to nothing at a positive threshold. The block pairs are few thousand for a few million vectors; their
     list is made on the driver from the blocks alone.
     """
-    rows = stage(units.select(F.col(row).alias("row"), F.col(vector).alias("u")).where("u IS NOT NULL"), "units")
+    rows = units.select(F.col(row).alias("row"), F.col(vector).alias("u")).where("u IS NOT NULL")
     wanted = min(PIVOTS, -(-rows.count() // PIVOT_ROWS))
     pivots = np.array([r["u"] for r in rows.orderBy(F.xxhash64("row")).limit(wanted).select("u").collect()], np.float64)
     spark = units.sparkSession
@@ -79,10 +79,12 @@ def similar_pairs(units: DataFrame, threshold: float, forest: bool = False, row:
             yield pd.DataFrame({"row": f["row"], "u": f["u"], "p": k, "angle": np.arccos(np.clip(sims[np.arange(len(k)), k], -1, 1))})
 
     dealt = stage(rows.mapInPandas(nearest, "row long, u array<double>, p int, angle double"), "vector-blocks")
-    split = {r["p"]: -(-r["n"] // block_rows) for r in dealt.groupBy("p").agg(F.count("*").alias("n")).collect()}
+    found = dealt.groupBy("p").agg(F.count("*").alias("n"), F.max("angle").alias("r")).collect()
+    split = {r["p"]: -(-r["n"] // block_rows) for r in found}
     parts = F.element_at(F.create_map(*[F.lit(x) for p, n in split.items() for x in (p, n)]), F.col("p"))
     blocked = dealt.withColumn("b", F.concat_ws("-", "p", F.pmod(F.xxhash64("row"), parts)))
-    radius = {r["b"]: (r["p"], r["r"]) for r in blocked.groupBy("b").agg(F.first("p").alias("p"), F.max("angle").alias("r")).collect()}
+    # A part of a split block is at most as wide as the block.
+    radius = {f"{r['p']}-{k}": (r["p"], r["r"]) for r in found for k in range(split[r["p"]])}
     limit = math.acos(max(-1.0, min(1.0, threshold))) + SLACK
     names = sorted(radius)
     between = np.arccos(np.clip(pivots @ pivots.T, -1, 1))
