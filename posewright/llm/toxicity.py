@@ -12,6 +12,7 @@ its vocabulary, and the counterfactual rows are derived from it. Every document
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -51,7 +52,10 @@ def features_of(text: str | None, known=None) -> set[str]:
 
     With ``known``, only features in it.
     """
-    distinct = words(text)
+    return features_of_words(words(text), known)
+
+
+def features_of_words(distinct: set[str], known=None) -> set[str]:
     count: dict[str, int] = {}
     for w in distinct:
         for k in STEMS:
@@ -60,7 +64,7 @@ def features_of(text: str | None, known=None) -> set[str]:
             stem = w[:k] + "*"
             if known is None or stem in known:
                 count[stem] = count.get(stem, 0) + 1
-    out = distinct if known is None else distinct & known.keys()
+    out = set(distinct) if known is None else distinct & known.keys()
     for stem, n in count.items():
         out.add(stem)
         for k in range(2, min(n, REPEATS) + 1):
@@ -101,20 +105,39 @@ def choose_words(counts: DataFrame, rows: int, toxic: int, size: int = VOCABULAR
     return sorted(found | stems)
 
 
+def swaps_of(distinct: set[str], at: dict[str, int]) -> list[list[int]]:
+    """How the features change for each named group and each other of its kind in its place, stems and their counts included.
+
+    A feature at ``k`` that is gained is ``k + 1``, one that is lost ``-k - 1``; swaps that change none are left out.
+    """
+    out = []
+    for a in sorted(distinct & KIND.keys()):
+        for b in KIND[a]:
+            if b == a:
+                continue
+            near = {w for w in distinct if w[:STEMS.start] in (a[:STEMS.start], b[:STEMS.start])}  # no other word shares a stem
+            old, new = features_of_words(near, at), features_of_words(near - {a} | {b}, at)
+            change = sorted([at[w] + 1 for w in new - old if w in at] + [-at[w] - 1 for w in old - new if w in at])
+            if change:
+                out.append(change)
+    return out
+
+
 def features(sample: DataFrame, vocabulary: list[str]) -> pd.DataFrame:
-    """``toxic, has`` of the sample: the label and the positions of the vocabulary words of a text."""
+    """``toxic, has, swaps`` of the sample: the label, the positions of the vocabulary words of a text, and ``swaps_of`` it."""
     at = {w: k for k, w in enumerate(vocabulary)}
 
     def run(batches):
         for b in batches:
             has = [sorted(at[w] for w in features_of(t, at) if w in at) for t in b.column("text").to_pylist()]
-            yield pa.record_batch([b.column("toxic"), pa.array(has, pa.list_(pa.int32()))], ["toxic", "has"])
+            swaps = [swaps_of(words(t), at) for t in b.column("text").to_pylist()]
+            yield pa.record_batch([b.column("toxic"), pa.array(has, pa.list_(pa.int32())), pa.array(swaps, pa.list_(pa.list_(pa.int32())))], ["toxic", "has", "swaps"])
 
-    return sample.select("text", "toxic").mapInArrow(run, "toxic int, has array<int>").toPandas()
+    return sample.select("text", "toxic").mapInArrow(run, "toxic int, has array<int>, swaps array<array<int>>").toPandas()
 
 
 def counterfactuals(has: list[np.ndarray], vocabulary: list[str]) -> np.ndarray:
-    """One row for each text and swap: how its features change when a named group is replaced by another."""
+    """One row for each text and swap, where only features are known: those of a named group and of another in its place."""
     at = {w: k for k, w in enumerate(vocabulary)}
     kinds = {at[w]: [at[o] for o in KIND[w] if o in at and o != w] for w in vocabulary if w in KIND}
     return np.array([(a, b) for h in has for a in h if a in kinds for b in kinds[a] if b not in h], np.int64).reshape(-1, 2)
@@ -128,13 +151,21 @@ class Model:
         return float(1 / (1 + np.exp(-(self.bias + sum(self.weights.get(w, 0.0) for w in features_of(text, self.weights))))))
 
 
-def fit(y: np.ndarray, has: list[np.ndarray], vocabulary: list[str], ridge: float = RIDGE, penalty: float = COUNTERFACTUAL) -> Model:
-    """Minimise log loss + ridge |w|^2 / 2 + penalty * mean squared logit change under swaps, by Newton-CG."""
+def fit(y: np.ndarray, has: list[np.ndarray], vocabulary: list[str], ridge: float = RIDGE, penalty: float = COUNTERFACTUAL, swapped: Counter | None = None) -> Model:
+    """Minimise log loss + ridge |w|^2 / 2 + penalty * mean squared logit change under swaps, by Newton-CG.
+
+    ``swapped`` counts the rows of ``swaps_of``; without it a swap changes the words of ``vocabulary`` alone.
+    """
     d = len(vocabulary)
     rows = np.repeat(np.arange(len(y)), [len(h) for h in has])
     cols = np.concatenate([np.zeros(0, np.int64), *has]).astype(np.int64)
-    pairs = counterfactuals(has, vocabulary)
-    scale = penalty * len(y) / max(1, len(pairs))
+    if swapped is None:
+        swapped = Counter((int(b) + 1, -int(a) - 1) for a, b in counterfactuals(has, vocabulary))
+    changes = sorted(swapped)
+    which = np.repeat(np.arange(len(changes)), [len(c) for c in changes])
+    moved = np.array([k for c in changes for k in c], np.int64)
+    sign, moved = np.sign(moved), np.abs(moved) - 1
+    scale = penalty * len(y) / max(1, swapped.total()) * np.array([swapped[c] for c in changes], float)
     w, b = np.zeros(d), float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5)))
 
     def logits(w, b):
@@ -144,8 +175,8 @@ def fit(y: np.ndarray, has: list[np.ndarray], vocabulary: list[str], ridge: floa
         return np.bincount(cols, v[rows], d)
 
     def swaps(w):
-        change = scale * (w[pairs[:, 1]] - w[pairs[:, 0]])
-        return np.bincount(pairs[:, 1], change, d) - np.bincount(pairs[:, 0], change, d)
+        change = scale * np.bincount(which, sign * w[moved], len(changes))
+        return np.bincount(moved, sign * change[which], d)
 
     for _ in range(STEPS):
         p = 1 / (1 + np.exp(-logits(w, b)))
@@ -189,7 +220,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     got = features(some, vocabulary)
     has = [np.asarray(h, np.int64) for h in got["has"]]
     order = sorted(range(len(has)), key=lambda k: (has[k].tolist(), got["toxic"][k]))
-    return fit(got["toxic"].to_numpy(float)[order], [has[k] for k in order], vocabulary)
+    swapped = Counter(tuple(int(k) for k in change) for swaps in got["swaps"] for change in swaps)
+    return fit(got["toxic"].to_numpy(float)[order], [has[k] for k in order], vocabulary, swapped=swapped)
 
 
 def held_out(folds: int = 4, fold: int = 2):

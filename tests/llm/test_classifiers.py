@@ -32,6 +32,21 @@ def test_swapped_groups_score_alike():
     assert gap(fair) < 0.25 * gap(plain) and fair.score("bad word") > 0.9 > 0.5 > fair.score("word")
 
 
+def test_penalty_reaches_the_stems_of_identity_terms(spark):
+    at = {"jews": 0, "musl*": 1, "musl*2": 2, "muslim*": 3, "muslims": 4}
+    assert [-5, -4, -3, 1] in T.swaps_of({"muslims", "muslin"}, at)
+    rng = np.random.default_rng(3)
+    rows = []
+    for i in range(2000):
+        toxic = int(rng.random() < 0.3)
+        group = "muslims" if rng.random() < (0.6 if toxic else 0.05) else "jews" if rng.random() < 0.2 else "people"
+        rows.append((i, f"{'awful' if toxic and rng.random() < 0.7 else 'plain'} {group} w{'abcdefgh'[i % 8]}", toxic))
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = T.train(df.select("doc_id", "text"), df.select("doc_id", "toxic"))
+    gap = lambda a, b: abs(model.score(f"plain {a}") - model.score(f"plain {b}"))
+    assert gap("muslims", "jews") < 0.05 and model.score("plain muslims") < T.THRESHOLD and model.score("awful people") > 0.8
+
+
 def test_features_are_whole_and_distinct():
     found = T.features_of("Idiotic idiotas; IDIOT x9")
     assert {"idiot", "idiotas", "idiot*", "idio*3", "idiot*2", "x"} <= found and "idiot*3" not in found
