@@ -5,6 +5,7 @@ import math
 import numpy as np
 import pytest
 from posewright.operators import analysis, components, encode, fingerprint, groups, joins, series, similarity, train
+from posewright.plans import embeddings
 from posewright.sources import files, sinks
 from posewright.streaming import duplicates
 from pyspark.sql import functions as F
@@ -198,6 +199,21 @@ def test_losses_agree(spark):
     assert got == pytest.approx(train.contrast(a, b, 0.3)[0], rel=1e-6)
 
 
+def test_cluster_choice_covers_the_range(spark, tmp_path, monkeypatch):
+    asked = []
+    monkeypatch.setattr(analysis, "cluster_choice", lambda rows, vector, ks, seed=42, restarts=5: asked.append((list(ks), restarts)))
+    for n in (90, 200, 420):
+        spark.range(n).selectExpr("id AS vec_id", "array(0.5D, CAST(id AS DOUBLE)) AS embedding").write.parquet(str(tmp_path / f"{n}" / "embeddings.parquet"))
+        embeddings.cluster_choice(spark, str(tmp_path / f"{n}"))
+    assert asked == [([], 5), (list(range(4, 10)), 5), (list(range(4, 21)), 5)]
+
+
+def test_greatest_similarity_may_be_low(spark, tmp_path):
+    for k, (vectors, best) in enumerate([([[1.0, 0.0], [0.2, 1.0]], 0.196116), ([[1.0, 0.0], [-1.0, 0.0]], -1.0), ([[1.0, 0.0]], None)]):
+        spark.createDataFrame(list(enumerate(vectors)), "vec_id long, embedding array<double>").write.parquet(str(tmp_path / f"{k}" / "embeddings.parquet"))
+        assert [r.max_sim for r in embeddings.max_similarity(spark, str(tmp_path / f"{k}")).collect()] == [best]
+
+
 def test_analysis(spark):
     rng = np.random.default_rng(4)
     x = rng.normal(size=(80, 3)) * [5, 1, 0.1] + 7
