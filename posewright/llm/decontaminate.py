@@ -4,7 +4,7 @@ Numbers, names and units become typed placeholders, so that a question keeps its
 parameters change. Windows of ``WIDTH`` template words are hashed and joined with the windows of the
 benchmark; a document that shares enough windows with an item is a candidate. The replaced words of the
 shared windows must then agree: along one alignment, each word of the item stands for one word of the
-document and the other way round.
+document and the other way round. Windows that are the item's word for word count in any case.
 
 Window hashes come from pairwise doubling (1, 2, 4, 8 words), so a window costs three hashes whatever its
 width, and the only rows that leave the scan are those which match the benchmark. The outer form of
@@ -68,32 +68,32 @@ def _hashed(rows: DataFrame) -> DataFrame:
 
 
 def benchmark_windows(benchmark: DataFrame) -> DataFrame:
-    """``item_id, at, hash, n_windows, slots``: usable windows of each item; ``slots`` counts placeholders."""
-    items = benchmark.where(F.col("text").isNotNull()).select("item_id", words(F.col("text")).alias("words"))
-    each = _hashed(items).select("item_id", "words", "size", F.posexplode_outer("windows").alias("at", "hash"))
+    """``item_id, item_row, at, hash, n_windows, slots``: usable windows of each item; ``slots`` counts placeholders."""
+    items = benchmark.where(F.col("text").isNotNull()).select("item_id", F.xxhash64("text").alias("item_row"), words(F.col("text")).alias("words"))
+    each = _hashed(items).select("item_id", "item_row", "words", "size", F.posexplode_outer("windows").alias("at", "hash"))
     part = F.slice("words", F.col("at") + 1, F.least(F.col("size"), F.lit(WIDTH)))
-    each = each.select("item_id", "at", "hash", "size", F.size(F.filter(part, lambda w: placeholder(w).isNotNull())).alias("slots"))
+    each = each.select("item_id", "item_row", "at", "hash", "size", F.size(F.filter(part, lambda w: placeholder(w).isNotNull())).alias("slots"))
     usable = each.where(F.col("hash").isNotNull() & (F.least("size", F.lit(WIDTH)) - F.col("slots") >= F.least("size", F.lit(MIN_LITERALS)))).distinct()
     n = usable.groupBy("item_id").agg(F.countDistinct("at").alias("n_windows"))
-    return usable.join(n, "item_id").select("item_id", "at", "hash", "n_windows", "slots")
+    return usable.join(n, "item_id").select("item_id", "item_row", "at", "hash", "n_windows", "slots")
 
 
 def _inconsistent(docs: DataFrame, benchmark: DataFrame, matches: DataFrame) -> DataFrame:
-    """``doc_id, row, item_id, shift`` of alignments whose slots do not map one to one."""
-    wanted = matches.where("slots > 0").select("doc_id", "row", "pos", "item_id", "at").distinct()
-    texts = docs.select("doc_id", F.xxhash64("text").alias("row"), words(F.col("text")).alias("words"))
-    texts = texts.join(wanted.select("doc_id", "row").distinct(), ["doc_id", "row"], "left_semi").dropDuplicates(["doc_id", "row"])
-    items = benchmark.select("item_id", words(F.col("text")).alias("item_words"))
+    """``row, item_row, pos, at`` of windows, not equal word for word, of alignments whose slots do not map one to one."""
+    wanted = matches.where("slots > 0").select("row", "pos", "item_row", "at").distinct()
+
+    def texts(table, row, name):
+        each = table.select(F.xxhash64("text").alias(row), words(F.col("text")).alias(name))
+        return each.join(wanted.select(row).distinct(), row, "left_semi").dropDuplicates([row])
+
     cut = lambda c, at: F.slice(c, F.col(at) + 1, WIDTH)
-    pairs = (wanted.join(texts, ["doc_id", "row"]).join(items, "item_id")
-             .select("doc_id", "row", "item_id", (F.col("pos") - F.col("at")).alias("shift"),
-                     F.explode(F.arrays_zip(cut("words", "pos").alias("d"), cut("item_words", "at").alias("b"))).alias("p"))
-             .select("doc_id", "row", "item_id", "shift", F.col("p.d").alias("d"), F.col("p.b").alias("b"))
-             .where(placeholder(F.col("b")).isNotNull()))
-    keys = ["doc_id", "row", "item_id", "shift"]
-    return pairs.groupBy(*keys).agg(
-        F.countDistinct("d").alias("nd"), F.countDistinct("b").alias("nb"), F.countDistinct("d", "b").alias("np")).where(
-        "np > nd OR np > nb").select(*keys)
+    slotted = stage(wanted.join(texts(docs, "row", "words"), "row").join(texts(benchmark, "item_row", "item_words"), "item_row").select(
+        "row", "item_row", "pos", "at", (F.col("pos") - F.col("at")).alias("shift"), cut("words", "pos").alias("d"), cut("item_words", "at").alias("b")), "benchmark-slots")
+    keys = ["row", "item_row", "shift"]
+    pairs = slotted.select(*keys, F.explode(F.arrays_zip("d", "b")).alias("p")).select(*keys, F.col("p.d").alias("d"), F.col("p.b").alias("b"))
+    bad = pairs.where(placeholder(F.col("b")).isNotNull()).groupBy(*keys).agg(
+        F.countDistinct("d").alias("nd"), F.countDistinct("b").alias("nb"), F.countDistinct("d", "b").alias("np")).where("np > nd OR np > nb")
+    return slotted.where("d <> b").join(bad, keys, "left_semi").select("row", "item_row", "pos", "at")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -111,12 +111,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     matches = windows.join(F.broadcast(items) if small else items, "hash")
     keys = ["doc_id", "row", "item_id"]
     if not items.where("slots > 0").isEmpty():
-        matches = stage(matches.select(*keys, "pos", "at", "n_windows", "slots"), "benchmark-matches")
-        bad = _inconsistent(docs, benchmark, matches)
-        m = matches.withColumn("shift", F.col("pos") - F.col("at")).alias("m")
-        b = bad.alias("b")
-        matches = m.join(b, F.col("m.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("m.row") == F.col("b.row"))
-                         & F.col("m.item_id").eqNullSafe(F.col("b.item_id")) & (F.col("m.shift") == F.col("b.shift")), "left_anti")
+        matches = stage(matches.select(*keys, "item_row", "pos", "at", "n_windows", "slots"), "benchmark-matches")
+        matches = matches.join(_inconsistent(docs, benchmark, matches), ["row", "item_row", "pos", "at"], "left_anti")
     found = matches.groupBy(*keys, "n_windows").agg(F.countDistinct("at").alias("n")).where(
         F.col("n") >= F.least("n_windows", F.lit(MIN_WINDOWS)))
     return found.groupBy("doc_id", "item_id").agg(

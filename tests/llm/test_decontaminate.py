@@ -94,3 +94,11 @@ def test_finds_planted_passages_and_no_others(spark):
     low = lambda t: " ".join(re.findall(r"\w+", t.lower()))
     texts, passages = [(r.doc_id, low(r.text)) for r in docs.collect()], [(r.item_id, low(r.text)) for r in items.collect()]
     assert got == {(i, j) for i, t in texts for j, p in passages if p in t} and got
+
+
+def test_disagreeing_slots_leave_verbatim_windows(spark):
+    text = [f"w{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(45)]
+    text[3] = text[42] = "one"
+    item, doc = " ".join(text), " ".join([*text[:42], "two", *text[43:]])
+    got = D.decontaminate(*frames(spark, [(1, doc), (None, doc), (2, " ".join(text[30:41]))], [(1, item)])).collect()
+    assert {tuple(r)[:4] for r in got} == {(1, 1, 35, 38), (None, 1, 35, 38)}
