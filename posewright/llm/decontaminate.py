@@ -6,6 +6,9 @@ benchmark; a document that shares enough windows with an item is a candidate. Th
 shared windows must then agree: along one alignment, each word of the item stands for one word of the
 document and the other way round. Windows that are the item's word for word count in any case.
 
+Items that this leaves out in part, short ones and those rich in placeholders, are also searched word for
+word, with each character of a script without spaces as a word.
+
 Window hashes come from pairwise doubling (1, 2, 4, 8 words), so a window costs three hashes whatever its
 width, and the only rows that leave the scan are those which match the benchmark. The outer form of
 explode keeps the optimizer from inferring a filter that would inline one lambda into the next.
@@ -22,6 +25,10 @@ DOUBLINGS = 3
 WIDTH = 1 << DOUBLINGS
 #: Windows that must be shared with an item (all of them, if it has fewer), and literal words a window needs.
 MIN_WINDOWS, MIN_LITERALS = 6, 4
+#: Items of so many words, but fewer than ``WIDTH``, are found word for word anywhere; shorter ones are whole texts only.
+SHORTEST_INSIDE = 3
+#: Characters of scripts written without spaces.
+UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]"
 #: The benchmark's windows are broadcast up to this many rows of at most 40 bytes, else joined by shuffle.
 BROADCAST_ROWS = 1_000_000
 #: Windows of an item, about, by which the number of files is chosen.
@@ -78,6 +85,47 @@ def benchmark_windows(benchmark: DataFrame) -> DataFrame:
     return usable.join(n, "item_id").select("item_id", "item_row", "at", "hash", "n_windows", "slots")
 
 
+def exact_words(text: Column) -> Column:
+    """``words``, with each character of a script without spaces as one."""
+    return words(F.regexp_replace(text, f"({UNSPACED})", " $1 "))
+
+
+def _exact_windows(rows: DataFrame, lengths: list[int], item: bool) -> DataFrame:
+    """Explode ``words`` to ``at, hash`` of its literal windows: of each length for documents, of its own (``WIDTH`` at most) for items."""
+    size = F.size("words")
+    each = []
+    for k in lengths:
+        fits = size == k if k < SHORTEST_INSIDE or (item and k < WIDTH) else size >= k
+        hashes = F.expr(f"transform(sequence(0, size(words) - {k}), i -> xxhash64(slice(words, i + 1, {k}), {k}))")
+        each.append(F.when(fits, F.transform(hashes, lambda h, i: F.struct(i.alias("at"), h.alias("hash")))).otherwise(
+            F.array().cast("array<struct<at:int,hash:bigint>>")))
+    kept = [c for c in rows.columns if c != "words"]
+    return rows.select(*kept, F.explode_outer(F.concat(*each)).alias("w")).select(*kept, "w.at", "w.hash").where("hash IS NOT NULL")
+
+
+def exact_matches(docs: DataFrame, benchmark: DataFrame, usable: DataFrame) -> DataFrame | None:
+    """``doc_id, row, item_id, n_windows, n``: literal windows shared with the items that templates leave out in part.
+
+    These are items with a window that is not usable as a template, under ``WIDTH`` words, or in a script
+    without spaces; None if there are none.
+    """
+    items = benchmark.where(F.col("text").isNotNull()).select("item_id", F.xxhash64("text").alias("item_row"), words(F.col("text")).alias("w"), "text")
+    seen = usable.groupBy("item_row").agg(F.countDistinct("at").alias("seen"))
+    left = items.join(seen, "item_row", "left").where(
+        (F.size("w") < WIDTH) | (F.size("w") - (WIDTH - 1) > F.coalesce("seen", F.lit(0))) | F.col("text").rlike(UNSPACED))
+    left = left.select("item_id", exact_words(F.col("text")).alias("words")).where(F.size("words") > 0)
+    lengths = sorted(r[0] for r in left.select(F.least(F.size("words"), F.lit(WIDTH))).distinct().collect())
+    if not lengths:
+        return None
+    wanted = stage(_exact_windows(left, lengths, True).distinct(), "exact-windows", rows=ROWS_AN_ITEM * benchmark.count())
+    wanted = wanted.join(wanted.groupBy("item_id").agg(F.countDistinct("at").alias("n_windows")), "item_id")
+    rows = docs.where(F.col("text").isNotNull()).select("doc_id", F.xxhash64("text").alias("row"), exact_words(F.col("text")).alias("words"))
+    found = _exact_windows(rows, lengths, False).drop("at")
+    small = wanted.count() <= BROADCAST_ROWS
+    return found.join(F.broadcast(wanted) if small else wanted, "hash").groupBy("doc_id", "row", "item_id", "n_windows").agg(
+        F.countDistinct("at").alias("n")).where(F.col("n") >= F.least("n_windows", F.lit(MIN_WINDOWS)))
+
+
 def _inconsistent(docs: DataFrame, benchmark: DataFrame, matches: DataFrame) -> DataFrame:
     """``row, item_row, pos, at`` of windows, not equal word for word, of alignments whose slots do not map one to one."""
     wanted = matches.where("slots > 0").select("row", "pos", "item_row", "at").distinct()
@@ -100,8 +148,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Contaminated pairs: ``doc_id, item_id, matched_windows, item_windows, coverage``.
 
     A pair is reported when the document shares at least ``MIN_WINDOWS`` of the item's windows, or all of
-    them if it has fewer. An item of fewer than ``WIDTH`` words matches only a text equal to it as a
-    template. Null and empty texts, of either table, match nothing; a null ``doc_id`` is a value like any
+    them if it has fewer. An item of fewer than ``WIDTH`` words matches a text equal to it as a template, and
+    from ``SHORTEST_INSIDE`` words on any text that holds it word for word. Pairs of the templates carry
+    the templates' figures, those that only the words show the figures of literal windows. Null and empty texts, of either table, match nothing; a null ``doc_id`` is a value like any
     other; repeated rows count once; an empty table gives an empty result.
     """
     items = stage(benchmark_windows(benchmark), "benchmark-windows", rows=ROWS_AN_ITEM * benchmark.count())
@@ -114,9 +163,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         matches = stage(matches.select(*keys, "item_row", "pos", "at", "n_windows", "slots"), "benchmark-matches")
         matches = matches.join(_inconsistent(docs, benchmark, matches), ["row", "item_row", "pos", "at"], "left_anti")
     found = matches.groupBy(*keys, "n_windows").agg(F.countDistinct("at").alias("n")).where(
-        F.col("n") >= F.least("n_windows", F.lit(MIN_WINDOWS)))
-    return found.groupBy("doc_id", "item_id").agg(
-        F.max("n").alias("matched_windows"), F.max("n_windows").alias("item_windows")).withColumn(
+        F.col("n") >= F.least("n_windows", F.lit(MIN_WINDOWS))).withColumn("route", F.lit(0))
+    literal = exact_matches(docs, benchmark, items)
+    if literal is not None:
+        found = found.unionByName(literal.withColumn("route", F.lit(-1)))
+    best = found.groupBy("doc_id", "item_id").agg(F.max(F.struct("route", "n", "n_windows")).alias("best"))
+    return best.select("doc_id", "item_id", F.col("best.n").alias("matched_windows"), F.col("best.n_windows").alias("item_windows")).withColumn(
         "coverage", F.col("matched_windows") / F.col("item_windows"))
 
 

@@ -102,3 +102,11 @@ def test_disagreeing_slots_leave_verbatim_windows(spark):
     item, doc = " ".join(text), " ".join([*text[:42], "two", *text[43:]])
     got = D.decontaminate(*frames(spark, [(1, doc), (None, doc), (2, " ".join(text[30:41]))], [(1, item)])).collect()
     assert {tuple(r)[:4] for r in got} == {(1, 1, 35, 38), (None, 1, 35, 38)}
+
+
+def test_short_and_number_rich_items_are_found_word_for_word(spark):
+    items = [(1, "1 2 3 4 5 6 7 8 9 10 11 12"), (2, "What is 3 plus 4?"), (3, "小明有三个苹果，小红给了他五个苹果。他一共有多少个苹果？"), (4, "7 8")]
+    docs = [(1, "so 1 2 3 4 5 6 7 8 9 10 11 12 end"), (2, "Ask: what is 3 plus 4? Now."), (3, "what is 5 plus 4?"), (4, "前文小明有三个苹果，小红给了他五个苹果。他一共有多少个苹果？后文"),
+            (5, "7, 8"), (6, "6 7 8 9"), (None, "what is 3 plus 4"), (7, "")]
+    got = D.decontaminate(*frames(spark, docs, items)).collect()
+    assert {tuple(r)[:4] for r in got} == {(1, 1, 5, 5), (2, 2, 1, 1), (None, 2, 1, 1), (4, 3, 18, 18), (5, 4, 1, 1)}
