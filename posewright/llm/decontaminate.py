@@ -2,7 +2,7 @@
 
 Numbers, names and units become typed placeholders, so that a question keeps its template when its
 parameters change. Windows of ``WIDTH`` template words are hashed and joined with the windows of the
-benchmark; a document that shares enough windows with an item is a candidate. The replaced words of the
+benchmark; a second search, where an item has names, also takes capitalised words inside a sentence as names. A document that shares enough windows with an item is a candidate. The replaced words of the
 shared windows must then agree: along one alignment, each word of the item stands for one word of the
 document and the other way round. Windows that are the item's word for word count in any case.
 
@@ -54,9 +54,20 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), SPLIT), lambda w: w != "")
 
 
+#: Marks a name by its form, a capitalised word inside a sentence; ``SPLIT`` removes it from plain texts.
+MARK = "\ue000"
+NAME_FORM = r"(?<=[\p{L}\p{N},;)] )(\p{Lu}\p{Ll}+)(?![\p{L}\p{N}])"
+
+
+def named_words(text: Column) -> Column:
+    """``words``, with ``MARK`` before capitalised words that follow a word or comma."""
+    marked = F.regexp_replace(F.translate(text, MARK, " "), NAME_FORM, MARK + "$1")
+    return F.filter(F.split(F.lower(marked), SPLIT.replace(r"[^\p{L}", rf"[^{MARK}\p{{L}}", 1)), lambda w: w != "")
+
+
 def placeholder(w: Column) -> Column:
     """``#n``, ``#u`` or ``#p`` for a number, unit or name; null for a literal word."""
-    return (F.when(((w >= "0") & (w < ":")) | w.isin(NUMBERS), "#n").when(w.isin(UNITS), "#u").when(w.isin(NAMES), "#p"))
+    return (F.when(((w >= "0") & (w < ":")) | w.isin(NUMBERS), "#n").when(w.isin(UNITS), "#u").when(w.isin(NAMES) | w.startswith(MARK), "#p"))
 
 
 def _hashed(rows: DataFrame) -> DataFrame:
@@ -74,9 +85,9 @@ def _hashed(rows: DataFrame) -> DataFrame:
         F.col("size") < WIDTH, F.array(short)).otherwise(F.expr(f"slice(windows, 1, size - {WIDTH - 1})")))
 
 
-def benchmark_windows(benchmark: DataFrame) -> DataFrame:
+def benchmark_windows(benchmark: DataFrame, split=words) -> DataFrame:
     """``item_id, item_row, at, hash, n_windows, slots``: usable windows of each item; ``slots`` counts placeholders."""
-    items = benchmark.where(F.col("text").isNotNull()).select("item_id", F.xxhash64("text").alias("item_row"), words(F.col("text")).alias("words"))
+    items = benchmark.where(F.col("text").isNotNull()).select("item_id", F.xxhash64("text").alias("item_row"), split(F.col("text")).alias("words"))
     each = _hashed(items).select("item_id", "item_row", "words", "size", F.posexplode_outer("windows").alias("at", "hash"))
     part = F.slice("words", F.col("at") + 1, F.least(F.col("size"), F.lit(WIDTH)))
     each = each.select("item_id", "item_row", "at", "hash", "size", F.size(F.filter(part, lambda w: placeholder(w).isNotNull())).alias("slots"))
@@ -126,12 +137,12 @@ def exact_matches(docs: DataFrame, benchmark: DataFrame, usable: DataFrame) -> D
         F.countDistinct("at").alias("n")).where(F.col("n") >= F.least("n_windows", F.lit(MIN_WINDOWS)))
 
 
-def _inconsistent(docs: DataFrame, benchmark: DataFrame, matches: DataFrame) -> DataFrame:
+def _inconsistent(docs: DataFrame, benchmark: DataFrame, matches: DataFrame, split) -> DataFrame:
     """``row, item_row, pos, at`` of windows, not equal word for word, of alignments whose slots do not map one to one."""
     wanted = matches.where("slots > 0").select("row", "pos", "item_row", "at").distinct()
 
     def texts(table, row, name):
-        each = table.select(F.xxhash64("text").alias(row), words(F.col("text")).alias(name))
+        each = table.select(F.xxhash64("text").alias(row), split(F.col("text")).alias(name))
         return each.join(wanted.select(row).distinct(), row, "left_semi").dropDuplicates([row])
 
     cut = lambda c, at: F.slice(c, F.col(at) + 1, WIDTH)
@@ -139,34 +150,44 @@ def _inconsistent(docs: DataFrame, benchmark: DataFrame, matches: DataFrame) ->
         "row", "item_row", "pos", "at", (F.col("pos") - F.col("at")).alias("shift"), cut("words", "pos").alias("d"), cut("item_words", "at").alias("b")), "benchmark-slots")
     keys = ["row", "item_row", "shift"]
     pairs = slotted.select(*keys, F.explode(F.arrays_zip("d", "b")).alias("p")).select(*keys, F.col("p.d").alias("d"), F.col("p.b").alias("b"))
-    bad = pairs.where(placeholder(F.col("b")).isNotNull()).groupBy(*keys).agg(
+    pairs = pairs.where(placeholder(F.col("b")).isNotNull()).withColumns({c: F.translate(c, MARK, "") for c in ("d", "b")})
+    bad = pairs.groupBy(*keys).agg(
         F.countDistinct("d").alias("nd"), F.countDistinct("b").alias("nb"), F.countDistinct("d", "b").alias("np")).where("np > nd OR np > nb")
     return slotted.where("d <> b").join(bad, keys, "left_semi").select("row", "item_row", "pos", "at")
 
 
+def template_matches(docs: DataFrame, benchmark: DataFrame, split) -> tuple[DataFrame, DataFrame]:
+    """The usable windows of the items, and ``doc_id, row, item_id, n_windows, n`` of pairs that share enough of them."""
+    items = stage(benchmark_windows(benchmark, split), "benchmark-windows", rows=ROWS_AN_ITEM * benchmark.count())
+    small = items.count() <= BROADCAST_ROWS
+    rows = docs.where(F.col("text").isNotNull()).select("doc_id", F.xxhash64("text").alias("row"), split(F.col("text")).alias("words"))
+    windows = _hashed(rows).select("doc_id", "row", F.posexplode_outer("windows").alias("pos", "hash"))
+    matches = windows.join(F.broadcast(items) if small else items, "hash")
+    keys = ["doc_id", "row", "item_id"]
+    if not items.where("slots > 0").isEmpty():
+        matches = stage(matches.select(*keys, "item_row", "pos", "at", "n_windows", "slots"), "benchmark-matches")
+        matches = matches.join(_inconsistent(docs, benchmark, matches, split), ["row", "item_row", "pos", "at"], "left_anti")
+    return items, matches.groupBy(*keys, "n_windows").agg(F.countDistinct("at").alias("n")).where(
+        F.col("n") >= F.least("n_windows", F.lit(MIN_WINDOWS)))
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Contaminated pairs: ``doc_id, item_id, matched_windows, item_windows, coverage``.
 
     A pair is reported when the document shares at least ``MIN_WINDOWS`` of the item's windows, or all of
     them if it has fewer. An item of fewer than ``WIDTH`` words matches a text equal to it as a template, and
     from ``SHORTEST_INSIDE`` words on any text that holds it word for word. Pairs of the templates carry
-    the templates' figures, those that only the words show the figures of literal windows. Null and empty texts, of either table, match nothing; a null ``doc_id`` is a value like any
-    other; repeated rows count once; an empty table gives an empty result.
+    the templates' figures, others those of the search with names by form, or else of literal windows. Null
+    and empty texts, of either table, match nothing; a null ``doc_id`` is a value like any other; repeated
+    rows count once; an empty table gives an empty result.
     """
-    items = stage(benchmark_windows(benchmark), "benchmark-windows", rows=ROWS_AN_ITEM * benchmark.count())
-    small = items.count() <= BROADCAST_ROWS
-    rows = docs.where(F.col("text").isNotNull()).select("doc_id", F.xxhash64("text").alias("row"), words(F.col("text")).alias("words"))
-    windows = _hashed(rows).select("doc_id", "row", F.posexplode_outer("windows").alias("pos", "hash"))
-    matches = windows.join(F.broadcast(items) if small else items, "hash")
-    keys = ["doc_id", "row", "item_id"]
-    if not items.where("slots > 0").isEmpty():
-        matches = stage(matches.select(*keys, "item_row", "pos", "at", "n_windows", "slots"), "benchmark-matches")
-        matches = matches.join(_inconsistent(docs, benchmark, matches), ["row", "item_row", "pos", "at"], "left_anti")
-    found = matches.groupBy(*keys, "n_windows").agg(F.countDistinct("at").alias("n")).where(
-        F.col("n") >= F.least("n_windows", F.lit(MIN_WINDOWS))).withColumn("route", F.lit(0))
+    items, found = template_matches(docs, benchmark, words)
+    found = found.withColumn("route", F.lit(0))
+    if not benchmark.where(F.exists(named_words(F.col("text")), lambda w: w.startswith(MARK) | w.isin(NAMES))).isEmpty():
+        found = found.unionByName(template_matches(docs, benchmark, named_words)[1].withColumn("route", F.lit(-1)))
     literal = exact_matches(docs, benchmark, items)
     if literal is not None:
-        found = found.unionByName(literal.withColumn("route", F.lit(-1)))
+        found = found.unionByName(literal.withColumn("route", F.lit(-2)))
     best = found.groupBy("doc_id", "item_id").agg(F.max(F.struct("route", "n", "n_windows")).alias("best"))
     return best.select("doc_id", "item_id", F.col("best.n").alias("matched_windows"), F.col("best.n_windows").alias("item_windows")).withColumn(
         "coverage", F.col("matched_windows") / F.col("item_windows"))

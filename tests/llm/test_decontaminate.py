@@ -110,3 +110,13 @@ def test_short_and_number_rich_items_are_found_word_for_word(spark):
             (5, "7, 8"), (6, "6 7 8 9"), (None, "what is 3 plus 4"), (7, "")]
     got = D.decontaminate(*frames(spark, docs, items)).collect()
     assert {tuple(r)[:4] for r in got} == {(1, 1, 5, 5), (2, 2, 1, 1), (None, 2, 1, 1), (4, 3, 18, 18), (5, 4, 1, 1)}
+
+
+def test_names_by_form(spark):
+    ravi = ITEMS[0][1].replace("Tom", "Ravi").replace("Anna", "Priya")
+    mixed = "Ravi has 3 apples and Priya gives him 5 more apples. How many apples does Anil have after 2 days of rain? Does Ravi know?"
+    plain = "the quick brown fox jumps over the lazy dog near a quiet river bank"
+    got = D.decontaminate(*frames(spark, [(1, ravi), (2, ravi.lower()), (3, plain.title())], ITEMS[:2])).collect()
+    assert {(r[0], r[1]) for r in got} == {(1, 1), (3, 2)}
+    other = [(1, mixed.replace("Ravi", "Kofi").replace("Anil", "Juan")), (2, mixed.replace("Anil", "Priya"))]
+    assert {(r[0], r[1]) for r in D.decontaminate(*frames(spark, other, [(1, mixed)])).collect()} >= {(1, 1)}
