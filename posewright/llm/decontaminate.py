@@ -2,7 +2,8 @@
 
 Numbers, names and units become typed placeholders, so that a question keeps its template when its
 parameters change. Windows of ``WIDTH`` template words are hashed and joined with the windows of the
-benchmark; a second search, where an item has names, also takes capitalised words inside a sentence as names. A document that shares enough windows with an item is a candidate. The replaced words of the
+benchmark; a second search, where an item has names, also takes capitalised words inside a sentence as
+names. A document that shares enough windows with an item is a candidate. The replaced words of the
 shared windows must then agree: along one alignment, each word of the item stands for one word of the
 document and the other way round. Windows that are the item's word for word count in any case.
 
@@ -20,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..staging import stage
+from .rows import take_out
 
 DOUBLINGS = 3
 WIDTH = 1 << DOUBLINGS
@@ -92,8 +94,8 @@ def benchmark_windows(benchmark: DataFrame, split=words) -> DataFrame:
     part = F.slice("words", F.col("at") + 1, F.least(F.col("size"), F.lit(WIDTH)))
     each = each.select("item_id", "item_row", "at", "hash", "size", F.size(F.filter(part, lambda w: placeholder(w).isNotNull())).alias("slots"))
     usable = each.where(F.col("hash").isNotNull() & (F.least("size", F.lit(WIDTH)) - F.col("slots") >= F.least("size", F.lit(MIN_LITERALS)))).distinct()
-    n = usable.groupBy("item_id").agg(F.countDistinct("at").alias("n_windows"))
-    return usable.join(n, "item_id").select("item_id", "item_row", "at", "hash", "n_windows", "slots")
+    n = usable.groupBy("item_row").agg(F.countDistinct("at").alias("n_windows"))
+    return usable.join(n, "item_row").select("item_id", "item_row", "at", "hash", "n_windows", "slots")
 
 
 def exact_words(text: Column) -> Column:
@@ -115,7 +117,7 @@ def _exact_windows(rows: DataFrame, lengths: list[int], item: bool) -> DataFrame
 
 
 def exact_matches(docs: DataFrame, benchmark: DataFrame, usable: DataFrame) -> DataFrame | None:
-    """``doc_id, row, item_id, n_windows, n``: literal windows shared with the items that templates leave out in part.
+    """``doc_id, row, item_id, item_row, n_windows, n``: literal windows shared with the items that templates leave out in part.
 
     These are items with a window that is not usable as a template, under ``WIDTH`` words, or in a script
     without spaces; None if there are none.
@@ -124,16 +126,16 @@ def exact_matches(docs: DataFrame, benchmark: DataFrame, usable: DataFrame) -> D
     seen = usable.groupBy("item_row").agg(F.countDistinct("at").alias("seen"))
     left = items.join(seen, "item_row", "left").where(
         (F.size("w") < WIDTH) | (F.size("w") - (WIDTH - 1) > F.coalesce("seen", F.lit(0))) | F.col("text").rlike(UNSPACED))
-    left = left.select("item_id", exact_words(F.col("text")).alias("words")).where(F.size("words") > 0)
+    left = left.select("item_id", "item_row", exact_words(F.col("text")).alias("words")).where(F.size("words") > 0)
     lengths = sorted(r[0] for r in left.select(F.least(F.size("words"), F.lit(WIDTH))).distinct().collect())
     if not lengths:
         return None
     wanted = stage(_exact_windows(left, lengths, True).distinct(), "exact-windows", rows=ROWS_AN_ITEM * benchmark.count())
-    wanted = wanted.join(wanted.groupBy("item_id").agg(F.countDistinct("at").alias("n_windows")), "item_id")
+    wanted = wanted.join(wanted.groupBy("item_row").agg(F.countDistinct("at").alias("n_windows")), "item_row")
     rows = docs.where(F.col("text").isNotNull()).select("doc_id", F.xxhash64("text").alias("row"), exact_words(F.col("text")).alias("words"))
     found = _exact_windows(rows, lengths, False).drop("at")
     small = wanted.count() <= BROADCAST_ROWS
-    return found.join(F.broadcast(wanted) if small else wanted, "hash").groupBy("doc_id", "row", "item_id", "n_windows").agg(
+    return found.join(F.broadcast(wanted) if small else wanted, "hash").groupBy("doc_id", "row", "item_id", "item_row", "n_windows").agg(
         F.countDistinct("at").alias("n")).where(F.col("n") >= F.least("n_windows", F.lit(MIN_WINDOWS)))
 
 
@@ -157,20 +159,32 @@ def _inconsistent(docs: DataFrame, benchmark: DataFrame, matches: DataFrame, spl
 
 
 def template_matches(docs: DataFrame, benchmark: DataFrame, split) -> tuple[DataFrame, DataFrame]:
-    """The usable windows of the items, and ``doc_id, row, item_id, n_windows, n`` of pairs that share enough of them."""
+    """The usable windows of the items, and ``doc_id, row, item_id, item_row, n_windows, n`` of pairs that share enough of them."""
     items = stage(benchmark_windows(benchmark, split), "benchmark-windows", rows=ROWS_AN_ITEM * benchmark.count())
     small = items.count() <= BROADCAST_ROWS
     rows = docs.where(F.col("text").isNotNull()).select("doc_id", F.xxhash64("text").alias("row"), split(F.col("text")).alias("words"))
     windows = _hashed(rows).select("doc_id", "row", F.posexplode_outer("windows").alias("pos", "hash"))
     matches = windows.join(F.broadcast(items) if small else items, "hash")
-    keys = ["doc_id", "row", "item_id"]
+    keys = ["doc_id", "row", "item_id", "item_row"]
     if not items.where("slots > 0").isEmpty():
-        matches = stage(matches.select(*keys, "item_row", "pos", "at", "n_windows", "slots"), "benchmark-matches")
+        matches = stage(matches.select(*keys, "pos", "at", "n_windows", "slots"), "benchmark-matches")
         matches = matches.join(_inconsistent(docs, benchmark, matches, split), ["row", "item_row", "pos", "at"], "left_anti")
     return items, matches.groupBy(*keys, "n_windows").agg(F.countDistinct("at").alias("n")).where(
         F.col("n") >= F.least("n_windows", F.lit(MIN_WINDOWS)))
 
 
+def _pairs(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """``doc_id, row, item_id, best``: the best of the searches for each text of a document and item; ``row`` is the text's digest."""
+    items, found = template_matches(docs, benchmark, words)
+    found = found.withColumn("route", F.lit(0))
+    if not benchmark.where(F.exists(named_words(F.col("text")), lambda w: w.startswith(MARK) | w.isin(NAMES))).isEmpty():
+        found = found.unionByName(template_matches(docs, benchmark, named_words)[1].withColumn("route", F.lit(-1)))
+    literal = exact_matches(docs, benchmark, items)
+    if literal is not None:
+        found = found.unionByName(literal.withColumn("route", F.lit(-2)))
+    return found.groupBy("doc_id", "row", "item_id").agg(F.max(F.struct("route", "n", "n_windows")).alias("best"))
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Contaminated pairs: ``doc_id, item_id, matched_windows, item_windows, coverage``.
 
@@ -178,30 +192,27 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     them if it has fewer. An item of fewer than ``WIDTH`` words matches a text equal to it as a template, and
     from ``SHORTEST_INSIDE`` words on any text that holds it word for word. Pairs of the templates carry
     the templates' figures, others those of the search with names by form, or else of literal windows. Null
-    and empty texts, of either table, match nothing; a null ``doc_id`` is a value like any other; repeated
-    rows count once; an empty table gives an empty result.
+    and empty texts, of either table, match nothing; a null ``doc_id`` or ``item_id`` is a value like any
+    other. Every text is judged alone: of rows that share an id, one pair is reported, with the figures of
+    the text that matches best. Repeated rows count once; an empty table gives an empty result.
     """
-    items, found = template_matches(docs, benchmark, words)
-    found = found.withColumn("route", F.lit(0))
-    if not benchmark.where(F.exists(named_words(F.col("text")), lambda w: w.startswith(MARK) | w.isin(NAMES))).isEmpty():
-        found = found.unionByName(template_matches(docs, benchmark, named_words)[1].withColumn("route", F.lit(-1)))
-    literal = exact_matches(docs, benchmark, items)
-    if literal is not None:
-        found = found.unionByName(literal.withColumn("route", F.lit(-2)))
-    best = found.groupBy("doc_id", "item_id").agg(F.max(F.struct("route", "n", "n_windows")).alias("best"))
+    best = _pairs(docs, benchmark).groupBy("doc_id", "item_id").agg(F.max("best").alias("best"))
     return best.select("doc_id", "item_id", F.col("best.n").alias("matched_windows"), F.col("best.n_windows").alias("item_windows")).withColumn(
         "coverage", F.col("matched_windows") / F.col("item_windows"))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose text matches no benchmark item, with all their columns."""
-    bad = stage(decontaminate(docs, benchmark).select(F.col("doc_id").alias("bad_id")).distinct(), "contaminated")
-    near = F.broadcast(bad) if bad.count() <= BROADCAST_ROWS else bad
-    return docs.join(near, docs["doc_id"].eqNullSafe(near["bad_id"]), "left_anti")
+    """The rows of ``docs`` whose text matches no benchmark item, with all their columns.
+
+    The verdict is the text's: a clean row stays, whether it shares its ``doc_id`` with a contaminated one or
+    has none.
+    """
+    found = _pairs(docs, benchmark).select("doc_id", F.col("row").alias("key"), F.lit(False).alias("kept"))
+    return take_out(docs, F.xxhash64("text"), found)
 
 
 def _oracle() -> str:
-    """The same pairs in DuckDB SQL, with windows as strings."""
+    """The pairs in DuckDB SQL, with windows as strings and lists: templates and literal windows, without the names by form."""
     listed = lambda words_: ", ".join(f"'{w}'" for w in words_)
     number = r"[\p{L}\p{N}]*\p{N}(?:[.,]\p{N}(?:[\p{L}\p{N}]*\p{N})?)*[.,]\p{N}[\p{L}\p{N}]*|[\p{L}\p{N}]+"
     kind = f"CASE WHEN (x >= '0' AND x < ':') OR x IN ({listed(NUMBERS)}) THEN '#n' WHEN x IN ({listed(UNITS)}) THEN '#u' WHEN x IN ({listed(NAMES)}) THEN '#p' END"
@@ -209,6 +220,8 @@ def _oracle() -> str:
     marks = " + ".join(["m", *(f"coalesce(lead(m, {k}) OVER o, 0)" for k in range(1, WIDTH))])
     later = lambda side: " UNION ALL ".join(
         f"SELECT h.n, {k} AS k, t.x, t.m FROM hits h JOIN typed t ON t.r = h.{side}r AND t.q = h.{side}q + {k} WHERE h.slots > 0" for k in range(WIDTH))
+    unspaced = UNSPACED.replace("Is", "")
+    next_words = ", ".join(f"lead(x, {k}) OVER o" for k in range(1, WIDTH))
     return f"""
 WITH texts AS (SELECT *, row_number() OVER () AS r FROM (SELECT DISTINCT 'd' AS side, doc_id AS id, text FROM documents WHERE text IS NOT NULL
   UNION ALL SELECT DISTINCT 'b', item_id, text FROM benchmark WHERE text IS NOT NULL)),
@@ -218,14 +231,27 @@ typed AS (SELECT *, ({kind} IS NOT NULL)::INT AS m, coalesce({kind}, x) AS c FRO
 spans AS (SELECT side, id, r, size, q, {ahead} AS s, {marks} AS slots FROM typed WINDOW o AS (PARTITION BY r ORDER BY q)),
 shorts AS (SELECT side, id, r, size, 1 AS q, string_agg(c, ' ' ORDER BY q) || ' $' AS s, sum(m) AS slots FROM typed WHERE size < {WIDTH} GROUP BY side, id, r, size),
 win AS (SELECT * FROM spans WHERE s IS NOT NULL UNION ALL SELECT * FROM shorts),
-items AS (SELECT *, count(DISTINCT q) OVER (PARTITION BY id) AS n_windows FROM win WHERE side = 'b' AND least(size, {WIDTH}) - slots >= least(size, {MIN_LITERALS})),
+items AS (SELECT *, count(DISTINCT q) OVER (PARTITION BY r) AS n_windows FROM win WHERE side = 'b' AND least(size, {WIDTH}) - slots >= least(size, {MIN_LITERALS})),
 hits AS (SELECT row_number() OVER () AS n, d.id AS doc_id, d.r AS dr, d.q AS dq, i.id AS item_id, i.r AS br, i.q AS bq, i.slots, n_windows FROM win d JOIN items i ON d.s = i.s WHERE d.side = 'd'),
 dw AS ({later("d")}), bw AS ({later("b")}),
-bad AS (SELECT dr, br, dq - bq AS shift FROM hits JOIN dw USING (n) JOIN bw USING (n, k) WHERE bw.m = 1 GROUP BY ALL
-  HAVING count(DISTINCT (dw.x, bw.x)) > count(DISTINCT dw.x) OR count(DISTINCT (dw.x, bw.x)) > count(DISTINCT bw.x)),
-good AS (SELECT * FROM hits h WHERE NOT EXISTS (SELECT 1 FROM bad WHERE bad.dr = h.dr AND bad.br = h.br AND bad.shift = h.dq - h.bq)),
-found AS (SELECT doc_id, dr, item_id, n_windows, count(DISTINCT bq) AS n FROM good GROUP BY ALL HAVING count(DISTINCT bq) >= least(n_windows, {MIN_WINDOWS}))
-SELECT doc_id, item_id, max(n) AS matched_windows, max(n_windows) AS item_windows, max(n)::DOUBLE / max(n_windows) AS coverage FROM found GROUP BY doc_id, item_id
+slotted AS (SELECT n, dr, br, dq - bq AS shift, dw.x AS dx, bw.x AS bx, bw.m FROM hits JOIN dw USING (n) JOIN bw USING (n, k)),
+bad AS (SELECT dr, br, shift FROM slotted WHERE m = 1 GROUP BY ALL HAVING count(DISTINCT (dx, bx)) > count(DISTINCT dx) OR count(DISTINCT (dx, bx)) > count(DISTINCT bx)),
+swapped AS (SELECT DISTINCT n FROM slotted JOIN bad USING (dr, br, shift) WHERE dx <> bx),
+good AS (SELECT * FROM hits WHERE n NOT IN (SELECT n FROM swapped)),
+found AS (SELECT doc_id, dr, item_id, br, n_windows, count(DISTINCT bq) AS n FROM good GROUP BY ALL HAVING count(DISTINCT bq) >= least(n_windows, {MIN_WINDOWS})),
+chars AS (SELECT t.side, t.id, t.r, t.text, regexp_extract_all(lower(regexp_replace(t.text, '({unspaced})', ' \\1 ', 'g')), '{number}') AS w FROM texts t),
+seen AS (SELECT r, count(DISTINCT q) AS seen FROM items GROUP BY r),
+odd AS (SELECT c.r, least(len(c.w), {WIDTH}) AS k FROM chars c JOIN split USING (r) LEFT JOIN seen USING (r) WHERE c.side = 'b' AND len(c.w) > 0
+  AND (len(split.w) < {WIDTH} OR len(split.w) - {WIDTH - 1} > coalesce(seen, 0) OR regexp_matches(c.text, '{unspaced}'))),
+cwords AS (SELECT side, id, r, len(w) AS size, unnest(w) AS x, generate_subscripts(w, 1) AS q FROM chars WHERE EXISTS (SELECT 1 FROM odd)),
+cspans AS (SELECT side, id, r, size, q, [x, {next_words}] AS g FROM cwords WINDOW o AS (PARTITION BY r ORDER BY q)),
+odd_items AS (SELECT id, r, q, g[:k] AS g, count(*) OVER (PARTITION BY r) AS n_windows FROM cspans JOIN odd USING (r) WHERE q + k - 1 <= size),
+doc_at AS (SELECT id, r, g[:k] AS g FROM cspans, (SELECT DISTINCT k FROM odd) WHERE side = 'd' AND q + k - 1 <= size AND (size = k OR k >= {SHORTEST_INSIDE})),
+plain AS (SELECT d.id AS doc_id, i.id AS item_id, i.r, n_windows, count(DISTINCT i.q) AS n FROM doc_at d JOIN odd_items i ON d.g = i.g
+  GROUP BY d.id, d.r, i.id, i.r, n_windows HAVING count(DISTINCT i.q) >= least(n_windows, {MIN_WINDOWS})),
+ways AS (SELECT doc_id, item_id, n, n_windows, 0 AS way FROM found UNION ALL SELECT doc_id, item_id, n, n_windows, -2 FROM plain),
+best AS (SELECT doc_id, item_id, max((way, n, n_windows)) AS b FROM ways GROUP BY doc_id, item_id)
+SELECT doc_id, item_id, b[2] AS matched_windows, b[3] AS item_windows, b[2]::DOUBLE / b[3] AS coverage FROM best
 """
 
 

@@ -120,3 +120,36 @@ def test_names_by_form(spark):
     assert {(r[0], r[1]) for r in got} == {(1, 1), (3, 2)}
     other = [(1, mixed.replace("Ravi", "Kofi").replace("Anil", "Juan")), (2, mixed.replace("Anil", "Priya"))]
     assert {(r[0], r[1]) for r in D.decontaminate(*frames(spark, other, [(1, mixed)])).collect()} >= {(1, 1)}
+
+
+def in_duckdb(docs, items):
+    con = duckdb.connect()
+    for name, column, rows in (("documents", "doc_id", docs), ("benchmark", "item_id", items)):
+        con.sql(f"CREATE TABLE {name} ({column} BIGINT, text VARCHAR)")
+        con.executemany(f"INSERT INTO {name} VALUES (?, ?)", rows)
+    return con.sql(D.ORACLE_SQL).fetchall()
+
+
+SUM = "12 + 7 = 19 , 5 x 6 = 30 , 9 - 4 = 5"
+A, B, C = ("a grey heron stands in the cold shallow water and waits for small silver fish",
+           "every second carriage of that night train was painted green by the old company", ITEMS[1][1])
+#: An item of numbers, a short question, null ids, an item id of two texts, and a document id of three.
+MIXED = [(11, SUM), (12, SUM.replace("19", "20")), (21, "So what is the capital city of France? Paris."), (22, "what is the capital of France"),
+         (None, A), (None, "clean"), (31, A + " x"), (41, DOCS[1][1]), (42, B), (51, C), (51, "clean"), (51, C + " again")]
+MIXED_ITEMS = [(11, SUM), (21, "What is the capital city of France"), (None, A), (33, "nothing of it is in any of the documents here"),
+               (41, ITEMS[0][1]), (41, B), (41, B), (52, C)]
+
+
+def test_mixed_cases_equal_sql(spark):
+    got = [tuple(r) for r in D.decontaminate(*frames(spark, MIXED, MIXED_ITEMS)).collect()]
+    assert {(r[0], r[1]) for r in got} == {(11, 11), (21, 21), (None, None), (31, None), (41, 41), (42, 41), (51, 52)} and len(got) == 7
+    assert sorted(got, key=repr) == sorted(in_duckdb(MIXED, MIXED_ITEMS), key=repr)
+
+
+def test_only_texts_that_leak_are_dropped(spark):
+    leak = ITEMS[1][1]
+    rows = [(1, leak), (1, "a clean text"), (None, leak), (None, "clean too"), (None, None), (2, "kept"), (2, "kept"), (3, "")]
+    docs, items = frames(spark, rows, ITEMS)
+    kept = D.drop_contaminated(docs, items)
+    assert kept.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr) == sorted([r for r in rows if r[1] != leak], key=repr)
