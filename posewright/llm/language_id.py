@@ -12,6 +12,8 @@ Costs are then constants by node and byte, which makes scoring two table lookups
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -23,6 +25,8 @@ ORDER, MIN_NODE = 3, 16
 #: The classifier is fitted on about this many labelled documents of each language, chosen by a hash of their id.
 MAX_DOCS = 4000
 START, SLICE = 10, 1 << 20
+#: Bits by which a text's code must exceed a code that knows no language before the text counts as in none.
+MARGIN = 16.0
 UNKNOWN = "und"
 
 
@@ -133,6 +137,26 @@ class Model:
         return out
 
 
+    def plain_bits(self, data: np.ndarray) -> float:
+        """Length of a text's shortest code without a language: single bytes by a language's counts, or eight bits flat."""
+        single = self.cost.reshape(-1, self.width, len(self.langs))[1].astype(np.float64)
+        seen = sum((np.bincount(self.symbol[data[a:a + SLICE]], minlength=self.width) for a in range(0, len(data), SLICE)), np.zeros(self.width))
+        return float(min((seen @ single).min(), 8.0 * len(data)))
+
+    def foreign(self, data: np.ndarray, offsets: np.ndarray, bits: np.ndarray, margin: float = MARGIN) -> np.ndarray:
+        """Whether no language codes a text as short as a code without languages does, by ``margin`` bits.
+
+        Then its bytes do not follow each other as in any of them: another language, code, or noise. A short
+        text has too few bits to tell.
+        """
+        best = bits.min(axis=1)
+        least = self.cost.reshape(-1, self.width, len(self.langs))[1].min()
+        out = best > least * np.diff(offsets) + margin  # the code of single bytes can be no shorter
+        for k in np.flatnonzero(out).tolist():
+            out[k] = best[k] > self.plain_bits(data[offsets[k]:offsets[k + 1]]) + margin
+        return out
+
+
 def train(rows: DataFrame, max_docs: int = MAX_DOCS) -> Model:
     """Fit on rows with ``doc_id, text`` and a non-null ``lang``; of each language, about ``max_docs`` by hash."""
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
@@ -146,18 +170,21 @@ def train(rows: DataFrame, max_docs: int = MAX_DOCS) -> Model:
     return Model(got["lang"].to_numpy(object), got["gram"].to_numpy(np.int64), got["n"].to_numpy(np.int64))
 
 
-def _judge(batch: pa.RecordBatch, model: Model, has_letters: str = "letters") -> tuple[np.ndarray, np.ndarray]:
-    """Language and score of each row by its text, and whether that has letters."""
+def _judge(batch: pa.RecordBatch, model: Model, has_letters: str = "letters", margin: float | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Language and score of each row by its text, and with ``margin`` whether it is ``foreign`` to all of them."""
     n = batch.num_rows
-    names, score = np.full(n, UNKNOWN, object), np.zeros(n)
+    names, score, foreign = np.full(n, UNKNOWN, object), np.zeros(n), np.zeros(n, bool)
     letters = batch.column(has_letters).to_numpy(zero_copy_only=False).astype(bool)
     if n and model.langs:
         text = batch.column("text").fill_null("").cast(pa.binary())
         offsets = np.frombuffer(text.buffers()[1], np.int32)[text.offset:text.offset + n + 1].astype(np.int64)
-        bits = model.bits(np.frombuffer(text.buffers()[2] or b"", np.uint8), offsets)
+        data = np.frombuffer(text.buffers()[2] or b"", np.uint8)
+        bits = model.bits(data, offsets)
+        if margin is not None:
+            foreign = model.foreign(data, offsets, bits, margin)
         names[letters] = np.array(model.langs, object)[bits.argmin(axis=1)][letters]
         score[letters] = (1 / np.exp2(np.maximum(bits.min(axis=1, keepdims=True) - bits, -1000)).sum(axis=1))[letters]
-    return names, score
+    return names, score, foreign
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
@@ -170,7 +197,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            names, score = _judge(b, shared.value)
+            names, score, _ = _judge(b, shared.value)
             yield pa.record_batch([b.column("doc_id"), pa.array(names, pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"])
 
     return docs.select(F.col("doc_id").cast("long"), "text", has_letter().alias("letters")).mapInArrow(
@@ -196,17 +223,27 @@ def language_id(docs: DataFrame, max_docs: int = MAX_DOCS) -> DataFrame:
     return predict(docs, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
-def drop_unidentified(docs: DataFrame, min_score: float = 0.0) -> DataFrame:
-    """The rows of ``docs`` with an identified language, with all their columns, in one pass and no shuffle.
+def drop_unidentified(docs: DataFrame, languages: Sequence[str] | None = None, min_score: float = 0.0, margin: float = MARGIN) -> DataFrame:
+    """The rows of ``docs`` in an identified language, with all their columns, in one pass and no shuffle.
 
-    Only ``und`` is rejected, unless a least score is given: a short text that fits two languages is no junk.
+    Rejected are texts without a letter, texts that are foreign to every learned language (see
+    ``Model.foreign``), and, where they are given, texts in none of ``languages`` or below ``min_score``. Where no
+    language is learned, only texts without a letter are rejected, for there is nothing to judge by. Null
+    ids and repeated rows are judged like any other, each by its text.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(train(docs.where(~held_out() & F.col("doc_id").isNotNull())))
+    model = train(docs.where(~held_out() & F.col("doc_id").isNotNull()))
+    if not model.langs:
+        return docs.where(has_letter())
+    shared = docs.sparkSession.sparkContext.broadcast(model)
     names, mark = docs.columns, fresh(docs, "letters")
+    wanted = None if languages is None else set(languages)
 
     def run(batches):
         for b in batches:
-            lang, score = _judge(b, shared.value, mark)
-            yield b.select(names).filter(pa.array((lang != UNKNOWN) & (score >= min_score)))
+            lang, score, foreign = _judge(b, shared.value, mark, margin)
+            kept = (lang != UNKNOWN) & (score >= min_score) & ~foreign
+            if wanted is not None:
+                kept &= np.array([x in wanted for x in lang], bool)
+            yield b.select(names).filter(pa.array(kept))
 
     return docs.withColumn(mark, has_letter()).mapInArrow(run, docs.schema)

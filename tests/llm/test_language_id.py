@@ -83,3 +83,39 @@ def test_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = L.language_id(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()
     assert len(got) > 100 and sum(r.lang == r.lang_pred for r in got) >= 0.97 * len(got)
+
+
+def test_foreign_texts_are_rejected(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    planted = [(-1, "Tämä on suomenkielinen lause jota malli ei ole nähnyt koskaan.", "fi"), (-2, "qwzx jkvb pqlm xzzv kkjq wwvb qzzx", None),
+               (-3, "это русский текст для проверки", None), (None, "日本語の文章をここに書いておきます", "ja"), (-5, "A.", None), (-6, "12 34", "en")]
+    planted[1:1] = [(-7, "зжщ " * 400_000, None)]
+    docs = docs.unionByName(spark.createDataFrame(planted, docs.schema).where("lang IS NULL OR lang <> 'fi' AND lang <> 'ja'")).unionByName(
+        spark.createDataFrame([(i, t, None) for i, t, x in planted if x in ("fi", "ja")], docs.schema)).selectExpr("*", "1 AS letters", "'k' AS letters_")
+    kept = L.drop_unidentified(docs)
+    assert kept.columns == docs.columns
+    gone = docs.select("doc_id", "text").exceptAll(kept.select("doc_id", "text")).collect()
+    assert sorted(r.doc_id or 0 for r in gone) == [-7, -6, -3, -2, -1, 0]
+    english = {r.doc_id for r in L.drop_unidentified(docs, ["en"]).collect()}
+    langs = {r.doc_id: r.lang for r in docs.collect()}
+    assert len(english) > 300 and sum(langs[i] == "en" for i in english) > 0.97 * len(english)
+
+
+def test_plain_code_is_the_shortest_without_context():
+    m = model()
+    for t in ("the mat", "zzz Ω", ""):
+        v = np.frombuffer(t.encode(), np.uint8)
+        want = [sum(direct_order0(b, x) for b in t.encode()) for x in m.langs]
+        assert np.isclose(m.plain_bits(v), min([*want, 8 * len(v)]), rtol=1e-5)
+
+
+def direct_order0(byte, lang):
+    c = Counter(b for name, t in TEXTS if name == lang for b in t.encode())
+    whole = sum(c.values()) + len(c)
+    return -math.log2(c[byte] / whole) if c[byte] else 8 - math.log2(len(c) / whole)
+
+
+def test_nothing_learned_rejects_only_texts_without_letters(spark):
+    docs = spark.createDataFrame([(1, "some text", None), (2, "12", None), (None, None, None), (3, "", None), (3, "x", None), (3, "x", None)], "doc_id long, text string, lang string")
+    assert sorted(r.text for r in L.drop_unidentified(docs).collect()) == ["some text", "x", "x"]
+    assert L.drop_unidentified(docs.limit(0)).collect() == []
