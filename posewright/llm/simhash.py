@@ -6,7 +6,9 @@ within ``k`` bits agree on all but ``k`` blocks, so each choice of the remaining
 whose top (the chosen bits) is fixed. Fingerprints with equal top bits share a bucket, and each bucket is
 a subtrie that is joined with itself by walking node pairs together: the walk adds the bits in which two
 nodes differ and drops a pair when the sum passes ``k``. More blocks are taken when the corpus is so
-large that buckets would grow; no link is lost for any choice.
+large that buckets would grow; no link is lost for any choice. A bucket that is crowded all the same is
+dealt again by blocks of its remaining bits, of which two linked fingerprints have one in common, until
+no bucket is too large for one task; buckets are counted before their rows are moved.
 
 A bucket returns a spanning forest of its links, at most one link for each fingerprint, never all pairs.
 """
@@ -28,6 +30,8 @@ from .rows import take_out
 SHINGLE, MAX_BITS, SEED = 4, 4, 42
 #: Mean fingerprints in a bucket beyond which one more block is cut, and pairs that one step of the walk expands.
 BUCKET, STEP = 20_000, 1 << 20
+#: Fingerprints of a bucket beyond which it is dealt again.
+CROWDED = 200_000
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
@@ -166,19 +170,49 @@ def trie_links(fps: np.ndarray, bucket: np.ndarray, order: tuple[int, ...], max_
     return child, label[child]
 
 
+class Deal:
+    """The bit positions that each table fixes; a table of number ``len(tables)`` or more is a crowded one dealt again."""
+
+    def __init__(self, tables: list[tuple[int, ...]], max_bits: int):
+        self.tables, self.blocks = [tuple(map(int, t)) for t in tables], max_bits + 1
+
+    def fixed(self, t: int) -> tuple[int, ...]:
+        if t < len(self.tables):
+            return self.tables[t]
+        parent, k = divmod(t - len(self.tables), self.blocks)
+        return self.fixed(parent) + tuple(self.rest(parent)[k::self.blocks].tolist())  # every block has high and low bits
+
+    def rest(self, t: int) -> np.ndarray:
+        """The positions left, from the highest down."""
+        return np.array(sorted(set(range(64)) - set(self.fixed(t)), reverse=True))
+
+    def again(self, t: int) -> list[int]:
+        """The tables of one block each that take the place of ``t``."""
+        return [len(self.tables) + t * self.blocks + k for k in range(self.blocks)]
+
+    def rows(self, t: int, fp: np.ndarray) -> pa.RecordBatch:
+        """``t, key, fp``: the bits that a table fixes are its key."""
+        mask = np.uint64(sum(1 << b for b in self.fixed(t)))
+        return pa.record_batch([pa.array(np.full(len(fp), t, np.int64)), pa.array((fp & mask).view(np.int64)), pa.array(fp.view(np.int64))], ["t", "key", "fp"])
+
+
 def links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """Links ``(i, j)`` between distinct signed fingerprints ``fp``, enough to connect all within ``max_bits``."""
-    tables = plan_tables(fps.count(), max_bits)
-    orders = [tuple(sorted(set(range(64)) - set(t), reverse=True)) for t in tables]
+    n = fps.count()
+    deal = Deal(plan_tables(n, max_bits), max_bits)
 
-    def keys(batches):
+    def first(batches):
         for b in batches:
             v = b.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)
-            for t, fixed in enumerate(tables):
-                key = np.zeros(len(v), np.int64)
-                for bit in fixed:
-                    key = (key << 1) | ((v >> np.uint64(bit)) & np.uint64(1)).astype(np.int64)
-                yield pa.record_batch([pa.array(np.full(len(v), t, np.int32)), pa.array(key), b.column("fp")], ["t", "key", "fp"])
+            for t in range(len(deal.tables)):
+                yield deal.rows(t, v)
+
+    def again(batches):
+        for b in batches:
+            v, t = b.column("fp").to_numpy(zero_copy_only=False).view(np.uint64), b.column("t").to_numpy()
+            for old in np.unique(t).tolist():
+                for new in deal.again(old):
+                    yield deal.rows(new, v[t == old])
 
     def join(batches):
         got = [b for b in batches if b.num_rows]
@@ -187,9 +221,9 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
         whole = pa.Table.from_batches(got)
         t, key = whole["t"].to_numpy(), whole["key"].to_numpy()
         v = whole["fp"].to_numpy().view(np.uint64)
-        for table in np.unique(t):
+        for table in np.unique(t).tolist():
             mine = t == table
-            f, k, order = v[mine], key[mine], orders[table]
+            f, k, order = v[mine], key[mine], tuple(deal.rest(table).tolist())
             rest = np.zeros(len(f), np.uint64)
             for bit in order:
                 rest = (rest << np.uint64(1)) | ((f >> np.uint64(bit)) & np.uint64(1))
@@ -200,8 +234,19 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
                 s = f.view(np.int64)
                 yield pa.record_batch([pa.array(s[child]), pa.array(s[root])], ["i", "j"])
 
-    dealt = fps.mapInArrow(keys, "t int, key long, fp long").repartition("t", "key")
-    return dealt.mapInArrow(join, "i long, j long")
+    schema = "t long, key long, fp long"
+    dealt, most, calm = fps.mapInArrow(first, schema), n * len(deal.tables), None
+    while n > CROWDED:
+        crowded = stage(dealt.groupBy("t", "key").agg(F.count("*").alias("n")).where(F.col("n") > CROWDED).select("t", "key"), "simhash-crowded", rows=most // CROWDED)
+        if crowded.isEmpty():
+            break
+        near = F.broadcast(crowded)  # 16 bytes for every CROWDED rows at least
+        rest = dealt.join(near, ["t", "key"], "left_anti")
+        calm = calm.unionByName(rest) if calm is not None else rest
+        dealt = stage(dealt.join(near, ["t", "key"], "left_semi").select("t", "fp").mapInArrow(again, schema), "simhash-again")
+        most *= deal.blocks
+    dealt = calm.unionByName(dealt) if calm is not None else dealt
+    return dealt.repartition("t", "key").mapInArrow(join, "i long, j long")
 
 
 def labelled(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:

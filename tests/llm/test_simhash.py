@@ -92,3 +92,26 @@ def test_equals_all_pairs(spark):
     for i, c in zip(ids, label, strict=True):
         low.setdefault(c, i)
     assert all(got[i][1] == low[c] for i, c in zip(ids, label, strict=True))
+
+
+def test_crowded_buckets_are_dealt_again(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    loose = rng.integers(0, 1 << 63, 40, dtype=np.uint64)
+    near = np.uint64(0x0123456789ABCDEF) ^ (rng.integers(0, 1 << 20, 400, dtype=np.uint64) << np.uint64(7))  # one bucket of four tables
+    fps = np.unique(np.concatenate([loose, near, clustered(60, 3)]))
+    rows = spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long")
+    monkeypatch.setattr(S, "CROWDED", 30)
+    got = S.links(rows, 4).collect()
+    at = {int(x): k for k, x in enumerate(fps.view(np.int64))}
+    label = list(range(len(fps)))
+    for r in got:
+        assert ((r.i ^ r.j) & (1 << 64) - 1).bit_count() > 0
+        a, b = label[at[r.i]], label[at[r.j]]
+        label = [min(a, b) if x in (a, b) else x for x in label]
+    assert label == components(fps, 4)
+    deal = S.Deal(S.plan_tables(10), 4)
+    for t in (0, 4, *deal.again(2), *deal.again(deal.again(1)[3])):
+        assert sorted([*deal.fixed(t), *deal.rest(t).tolist()]) == list(range(64))
+    for parent in (3, deal.again(3)[0]):
+        parts = [set(deal.fixed(t)) - set(deal.fixed(parent)) for t in deal.again(parent)]
+        assert sorted(b for p in parts for b in p) == sorted(deal.rest(parent).tolist()) and all(parts)
