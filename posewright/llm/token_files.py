@@ -5,6 +5,7 @@ are counted over all documents. The corpus is one sequence in ascending document
 whole documents. A block stands alone: a header with its place in the sequence, its documents' ids and
 lengths, the states of its interleaved lanes at the start and at checkpoints, the shared stream of 32-bit
 words, and a checksum. So blocks, and the stretches between checkpoints of one block, decode in parallel.
+The folder of a run of blocks is named by the place of its first id, so that the files stand in order.
 
 Block layout, little-endian: ``HEAD``; for each document its id (int64), whether it is null (uint8) and its
 length (int64); for each checkpoint the word it starts at (int64) and its lane states (uint64); the words
@@ -17,6 +18,7 @@ from __future__ import annotations
 import os
 import struct
 import zlib
+from bisect import bisect_left, bisect_right
 from functools import cache
 from itertools import chain
 
@@ -33,6 +35,8 @@ from .word_table import SLICE, WordTable
 END_ID, BITS, LOW = 1, 20, np.uint64(1 << 32)
 #: Tokens of a block (one long document may have more), lanes, and steps between checkpoints.
 BLOCK, LANES, CHECKPOINT = 1 << 20, 4096, 128
+#: Rows (about) from which the cuts inside of frequent document ids are taken, and ids of a row up to which a cut compares them.
+CUT_ROWS, CUT_IDS = 2000, 1 << 14
 HEAD = struct.Struct("<4sIIIIqqqqqI")
 MAGIC = b"PWT1"
 
@@ -270,18 +274,35 @@ def _unpack(low: pa.Array, mid: pa.Array, high: pa.Array) -> tuple[np.ndarray, n
     return out, sizes
 
 
-def tokenize(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFrame:
-    """``part, doc_id, n, low, mid, high, offset``: every document's ids with the end id, in ascending order.
+class Parts:
+    """Parts of the sequence: ids up to each bound, nulls before them, and cuts between the rows of one frequent id.
 
-    Parts follow each other in the order of ``doc_id`` (nulls first) and are sorted inside; ``offset`` is the
-    number of ids of a part before a document. Part bounds are quantiles of ``doc_id``, read without texts.
+    The cuts are rows (``n, low, mid, high``, in the order of the files). Rows that equal a cut are the same
+    in all that is written, so they are dealt over the parts on both of its sides.
     """
-    spark = docs.sparkSession
-    n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ids = docs.select(F.col("doc_id").cast("long"))
-    got = ids.agg(F.percentile_approx("doc_id", [k / n_parts for k in range(1, n_parts)] or [0.5], 10_000)).first()[0]
-    bounds = np.unique(np.array(got or [], np.int64))
 
+    def __init__(self, bounds: np.ndarray, cuts: dict[int | None, list[tuple]]):
+        self.bounds, self.cuts = bounds, cuts
+        ends = [None, *bounds.tolist()]
+        sizes = [1 + len(cuts.get(e, ())) for e in ends] + [1]
+        self.first = np.concatenate([[0], np.cumsum(sizes)])[:-1]
+        self.n = int(sum(sizes))
+
+    def of(self, doc_id: pa.Array, rows: list[tuple]) -> np.ndarray:
+        """The part of each row, given its id and ``n, low, mid, high``."""
+        null = doc_id.is_null().to_numpy(zero_copy_only=False)
+        ids = doc_id.fill_null(0).to_numpy(zero_copy_only=False)
+        place = np.where(null, 0, np.searchsorted(self.bounds, ids, "left") + 1)
+        part = self.first[place]
+        for value, cuts in self.cuts.items():
+            for k in np.flatnonzero(null if value is None else ~null & (ids == value)).tolist():
+                a, b = bisect_left(cuts, rows[k]), bisect_right(cuts, rows[k])
+                part[k] += a + k % (b - a + 1)
+        return part
+
+
+def _encoded(tokenizer: str, end_id: int):
+    """A function of batches of ``doc_id, text``: ids column, and each row's ``n, low, mid, high``, for few rows at a time."""
     def run(batches):
         encoder = encoder_of(tokenizer)
         for b in batches:
@@ -290,19 +311,60 @@ def tokenize(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFrame
                 text = c.column("text").cast(pa.binary())
                 offsets = np.frombuffer(text.buffers()[1], np.int32)[text.offset:text.offset + len(text) + 1].astype(np.int64)
                 flat, at = encoder.encode(np.frombuffer(text.buffers()[2] or b"", np.uint8), offsets)
-                rows = [_pack(np.append(flat[p:q], np.uint32(end_id))) for p, q in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-                doc = c.column("doc_id")
-                part = np.searchsorted(bounds, doc.fill_null(0).to_numpy(zero_copy_only=False), "left") + 1
-                part[doc.is_null().to_numpy(zero_copy_only=False)] = 0
-                planes = [pa.array([r[k] for r in rows], pa.binary()) for k in range(3)]
-                yield pa.record_batch([pa.array(part.astype(np.int32)), doc, pa.array(np.diff(at) + 1), *planes],
-                                      ["part", "doc_id", "n", "low", "mid", "high"])
-
-    rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(
-        run, "part int, doc_id long, n long, low binary, mid binary, high binary")
+                yield c.column("doc_id"), [(q - p + 1, *_pack(np.append(flat[p:q], np.uint32(end_id)))) for p, q in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+    return run
+
+
+def plan_parts(docs: DataFrame, n_parts: int, encoded) -> Parts:
+    """Bounds at quantiles of ``doc_id``, read without texts; an id (or null) of more than a part's rows is cut by its rows.
+
+    The cuts come from about ``CUT_ROWS`` rows of such ids. They only balance the parts.
+    """
+    known = docs.select("doc_id")
+    shares = [k / n_parts for k in range(1, n_parts)] or [0.5]
+    n, n_known, quantiles = known.agg(F.count("*"), F.count("doc_id"), F.percentile_approx("doc_id", shares, max(10_000, 10 * n_parts))).first()
+    bounds, times = np.unique(np.array(quantiles or [], np.int64), return_counts=True)
+    wanted = {b: t + 1 for b, t in zip(bounds.tolist(), times.tolist(), strict=True) if t > 1}
+    if (nulls := round((n - n_known) / max(n, 1) * n_parts)) > 1:
+        wanted[None] = nulls
+    if not wanted:
+        return Parts(bounds, {})
+    named = F.col("doc_id").isin([b for b in wanted if b is not None])
+    frequent = docs.where(named | F.col("doc_id").isNull() if None in wanted else named)
+    share = min(1.0, CUT_ROWS / max(1.0, n * sum(wanted.values()) / n_parts))
+
+    def some(batches):
+        for ids, rows in encoded(batches):
+            cut = [r if r[0] <= CUT_IDS else (r[0], b"", b"", b"") for r in rows]
+            yield pa.record_batch([ids, pa.array([r[0] for r in cut], pa.int64()), *(pa.array([r[k] for r in cut], pa.binary()) for k in (1, 2, 3))],
+                                  ["doc_id", "n", "low", "mid", "high"])
+
+    found: dict[int | None, list[tuple]] = {}
+    for r in frequent.where(F.rand(11) < share).mapInArrow(some, "doc_id long, n long, low binary, mid binary, high binary").toLocalIterator():
+        found.setdefault(r[0], []).append((r[1], *map(bytes, r[2:])))
+    cuts = {value: [sorted(got)[k * len(got) // m] for k in range(1, m)] for value, m in wanted.items() if (got := found.get(value))}
+    return Parts(bounds, cuts)
+
+
+def tokenize(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFrame:
+    """``part, doc_id, n, low, mid, high, offset``: every document's ids with the end id, in ascending order.
+
+    Parts follow each other in the order of ``doc_id`` (nulls first), then of the ids, and are sorted inside;
+    ``offset`` is the number of ids of a part before a document.
+    """
+    rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
+    encoded = _encoded(tokenizer, end_id)
+    parts = plan_parts(rows, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), encoded)
+
+    def run(batches):
+        for ids, packed in encoded(batches):
+            planes = [pa.array([r[k] for r in packed], pa.binary()) for k in (1, 2, 3)]
+            yield pa.record_batch([pa.array(parts.of(ids, packed).astype(np.int32)), ids, pa.array([r[0] for r in packed], pa.int64()), *planes],
+                                  ["part", "doc_id", "n", "low", "mid", "high"])
+
+    dealt = rows.mapInArrow(run, "part int, doc_id long, n long, low binary, mid binary, high binary").repartitionById(parts.n, "part")
     order = W.partitionBy("part").orderBy("doc_id", "n", "low", "mid", "high")
-    return rows.repartition(n_parts, "part").withColumn(
-        "offset", F.coalesce(F.sum("n").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).cast("long"))
+    return dealt.withColumn("offset", F.coalesce(F.sum("n").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).cast("long"))
 
 
 def count_ids(tokens: DataFrame) -> Tables:
@@ -337,10 +399,15 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, end_id: int = END_I
     def run(batches):
         table, first = shared.value
         held: list = []
+        at, end = "", -1
 
         def flush():
             data = encode_block(table, held[0][0], [d for h in held for d in h[1]], np.concatenate([h[2] for h in held]), np.concatenate([h[3] for h in held]))
-            row = pa.record_batch([pa.array([held[0][0]], pa.int64()), pa.array([data], pa.binary())], ["start", "block"])
+            nonlocal at, end
+            if end != held[0][0]:
+                at = f"{held[0][0]:018d}"
+            end = held[0][0] + sum(len(h[3]) for h in held)
+            row = pa.record_batch([pa.array([at]), pa.array([held[0][0]], pa.int64()), pa.array([data], pa.binary())], ["at", "start", "block"])
             held.clear()
             return row
 
@@ -366,8 +433,8 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, end_id: int = END_I
         if held:
             yield flush()
 
-    blocks = tokens.select("part", "doc_id", "low", "mid", "high", "offset").mapInArrow(run, "start long, block binary")
-    blocks.write.option("compression", "none").parquet(f"{path}/blocks")
+    blocks = tokens.select("part", "doc_id", "low", "mid", "high", "offset").mapInArrow(run, "at string, start long, block binary")
+    blocks.sortWithinPartitions("at", "start").write.partitionBy("at").option("compression", "none").parquet(f"{path}/blocks")
     kept = spark.createDataFrame([(bytearray(tables.ids.astype("<i8").tobytes()), bytearray(tables.freq.astype("<u8").tobytes()))], "ids binary, freq binary")
     kept.write.parquet(f"{path}/tables")
     discard(tokens)
@@ -393,7 +460,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
                                        pa.array(block.sizes.astype(np.int64)), pa.array(crc, pa.int64())],
                                       ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return spark.read.parquet(f"{path}/blocks").select("block").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return spark.read.schema("start long, block binary").parquet(f"{path}/blocks").select("block").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_files(docs: DataFrame, tokenizer: str, path: str | None = None) -> DataFrame:

@@ -5,6 +5,8 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from posewright.llm import token_files as K
 from posewright.llm.word_table import WordTable
@@ -98,3 +100,31 @@ def test_files(spark, library, tmp_path, monkeypatch):
     order = [r.doc_id for r in sorted(got, key=lambda r: r.start)]
     assert order[:2] == [None, None] and order[2:] == sorted(order[2:])
     assert K.token_files(docs.limit(0), PATH).collect() == []
+
+
+def test_frequent_ids_are_dealt_over_parts_in_file_order(spark, library, tmp_path):
+    rng = random.Random(4)
+    text = lambda: " ".join(rng.choices("the cat sat on a mat and then it went away again".split(), k=rng.randint(1, 9)))
+    rows = [(None, text()) for _ in range(150)] + [(None, "the same text")] * 150 + [(7, text()) for _ in range(120)] + [(i, text()) for i in range(100)] + [(7, "le " * 20_000)]
+    rng.shuffle(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    parts = {r.part: r.n for r in K.tokenize(docs, PATH).groupBy("part").count().withColumnRenamed("count", "n").collect()}
+    assert len(parts) >= 5 and max(parts.values()) < 250 < sum(i is None for i, _ in rows)
+    path = tmp_path / "t"
+    got = sorted(K.token_files(docs, PATH, str(path)).collect(), key=lambda r: r.start)
+    ids = sorted((i is not None, i or 0, len(x), x) for i, x in ((i, [*library.encode(t, add_special_tokens=False).ids, 1]) for i, t in rows))
+    key = lambda i, n, crc: (i is not None, i or 0, n, crc)
+    assert sorted(key(r.doc_id, r.n_tokens, r.ids_crc32) for r in got) == sorted(key(i if k else None, n, zlib.crc32(np.array(x, "<u4").tobytes())) for k, i, n, x in ids)
+    assert [(r.doc_id, r.n_tokens) for r in got] == [(i if k else None, n) for k, i, n, _ in ids]
+    assert [r.start for r in got] == np.cumsum([0] + [r.n_tokens for r in got])[:-1].tolist()
+    starts = [pq.read_table(f, partitioning=None)["start"].to_pylist() for f in sorted(path.glob("blocks/*/*.parquet"))]
+    assert len(starts) > 1 and sum(starts, []) == sorted(sum(starts, []))
+
+
+def test_parts_keep_the_order():
+    rows = [(3, b"a", b"", b""), (3, b"b", b"", b""), (4, b"", b"", b"")]
+    parts = K.Parts(np.array([5, 9]), {None: [rows[1]], 9: [rows[0], rows[0], rows[2]]})
+    assert parts.n == 8
+    ids = pa.array([None, None, None, 4, 5, 6, 9, 9, 9, 9, 10])
+    got = parts.of(ids, [rows[0], rows[1], rows[2], rows[0], rows[0], rows[0], *rows, (5, b"", b"", b""), rows[0]]).tolist()
+    assert got[0] == 0 and got[1] in (0, 1) and got[2] == 1 and got[3:6] == [2, 2, 3] and got[6] in (3, 4, 5) and got[7] == 5 and got[8] in (5, 6) and got[9] == 6 and got[10] == 7
