@@ -1,9 +1,9 @@
 """Toxicity by a counterfactual-regularised word classifier.
 
-A logistic model over the distinct words of a text, and the stems that they begin with, is trained so that swapping identity terms leaves its
-score alone: for a labelled text that names a group, the same text with another group in its place must
-get the same logit, and the squared change is added to the loss. Words that only name a group then carry
-no weight, whatever groups the toxic examples happen to mention.
+A logistic model over the distinct words of a text, and the stems that they begin with, is trained so that
+swapping identity terms leaves its score alone: for a labelled text that names a group, the same text with
+another group in its place must get the same logit, and the squared change is added to the loss. Words
+that only name a group then carry no weight, whatever groups the toxic examples happen to mention.
 
 The classifier is fitted on a bounded sample of labelled rows, chosen by a hash: grouped aggregation gives
 its vocabulary, and the counterfactual rows are derived from it. Every document is scored in one pass.
@@ -204,7 +204,7 @@ def fit(y: np.ndarray, has: list[np.ndarray], vocabulary: list[str], ridge: floa
     return Model({v: float(c) for v, c in zip(vocabulary, w, strict=True)}, b)
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, penalty: float = COUNTERFACTUAL) -> Model:
     """Fit on about ``sample`` labelled documents, chosen by a hash of the id; null ids and labels are ignored.
 
     The chosen labels are broadcast, so that texts are not shuffled to meet them.
@@ -221,7 +221,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     has = [np.asarray(h, np.int64) for h in got["has"]]
     order = sorted(range(len(has)), key=lambda k: (has[k].tolist(), got["toxic"][k]))
     swapped = Counter(tuple(int(k) for k in change) for swaps in got["swaps"] for change in swaps)
-    return fit(got["toxic"].to_numpy(float)[order], [has[k] for k in order], vocabulary, swapped=swapped)
+    return fit(got["toxic"].to_numpy(float)[order], [has[k] for k in order], vocabulary, penalty=penalty, swapped=swapped)
 
 
 def held_out(folds: int = 4, fold: int = 2):

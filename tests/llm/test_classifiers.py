@@ -47,6 +47,55 @@ def test_penalty_reaches_the_stems_of_identity_terms(spark):
     assert gap("muslims", "jews") < 0.05 and model.score("plain muslims") < T.THRESHOLD and model.score("awful people") > 0.8
 
 
+def planted(n, seed):
+    """Labelled texts in which one group stands in most toxic examples."""
+    rng, rows = np.random.default_rng(seed), []
+    for i in range(n):
+        toxic = int(rng.random() < 0.3)
+        group = "muslim" if rng.random() < (0.6 if toxic else 0.1) else "christian" if rng.random() < 0.4 else "people"
+        rows.append((i, f"{'awful' if toxic and rng.random() < 0.7 else 'plain'} {group} w{'abcdefgh'[i % 8]}", toxic))
+    return rows
+
+
+def test_penalty_closes_the_gap_through_train(spark):
+    df = spark.createDataFrame(planted(1500, 5), "doc_id long, text string, toxic int")
+    docs, labels = df.select("doc_id", "text"), df.select("doc_id", "toxic")
+    plain, fair = (T.train(docs, labels, penalty=p) for p in (0.0, T.COUNTERFACTUAL))
+    gap = lambda m: abs(m.score("word christian") - m.score("word muslim"))
+    assert gap(plain) > 0.1 and gap(fair) < 0.25 * gap(plain) and fair.score("awful people") > 0.8
+
+
+def test_fit_is_the_minimum_over_swapped_texts():
+    """A dense Newton solver over the texts and their rewritten counterfactuals."""
+    rows = planted(150, 8)
+    vocabulary = sorted({f for _, t, _ in rows for f in T.features_of(t)})
+    at = {f: k for k, f in enumerate(vocabulary)}
+
+    def dense(text):
+        out = np.zeros(len(vocabulary))
+        out[[at[f] for f in T.features_of(text) if f in at]] = 1
+        return out
+
+    x, y, moves = np.array([dense(t) for _, t, _ in rows]), np.array([float(l) for *_, l in rows]), []
+    for _, t, _ in rows:
+        for a in set(t.split()) & T.KIND.keys():
+            moves += [m for b in T.KIND[a] if b != a and np.any(m := dense(" ".join(b if w == a else w for w in t.split())) - dense(t))]
+    moves, scale = np.array(moves), T.COUNTERFACTUAL * len(y) / len(moves)
+    loss = lambda w, b: np.logaddexp(0, -(2 * y - 1) * (x @ w + b)).sum() + T.RIDGE / 2 * w @ w + scale / 2 * ((moves @ w) ** 2).sum()
+    w, b, design = np.zeros(len(vocabulary)), 0.0, np.c_[x, np.ones(len(x))]
+    ridge = np.diag(np.r_[np.full(len(w), T.RIDGE), 0]) + np.pad(scale * moves.T @ moves, (0, 1))[:len(w) + 1, :len(w) + 1]
+    for _ in range(40):
+        p = 1 / (1 + np.exp(-(x @ w + b)))
+        step = np.linalg.solve(design.T @ (design * (p * (1 - p))[:, None]) + ridge, design.T @ (p - y) + ridge @ np.r_[w, b])
+        w, b = w - step[:-1], b - step[-1]
+    has = [np.flatnonzero(r) for r in x]
+    swapped = T.Counter(tuple(c) for _, t, _ in rows for c in T.swaps_of(T.words(t), at))
+    assert swapped.total() == len(moves)
+    got = T.fit(y, has, vocabulary, swapped=swapped)
+    weights = np.array([got.weights[v] for v in vocabulary])
+    assert loss(weights, got.bias) <= loss(w, b) + 1e-4 and np.abs(weights - w).max() < 0.01
+
+
 def test_features_are_whole_and_distinct():
     found = T.features_of("Idiotic idiotas; IDIOT x9")
     assert {"idiot", "idiotas", "idiot*", "idio*3", "idiot*2", "x"} <= found and "idiot*3" not in found
