@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import dot, unit
@@ -35,8 +35,8 @@ def cluster(rows: DataFrame, vector: str, k: int = 12, seed: int = 42, restarts:
     v = rows.withColumn("__v", array_to_vector(F.transform(vector, lambda x: x.cast("double")))).cache()
     models = [KMeans(k=k, seed=seed + r, featuresCol="__v", predictionCol="cluster").fit(v) for r in range(restarts)]
     best = min(models, key=lambda m: m.summary.trainingCost)
-    out = best.transform(v).drop("__v")
-    return out
+    v.unpersist()
+    return best.transform(v).drop("__v")
 
 
 def cluster_choice(rows: DataFrame, vector: str, ks, seed: int = 42, restarts: int = 5) -> DataFrame:
@@ -57,6 +57,7 @@ def cluster_choice(rows: DataFrame, vector: str, ks, seed: int = 42, restarts: i
 
         s = rows.select(F.transform(vector, lambda x: x.cast("double")).alias("v")).mapInPandas(score, "s double").agg(F.avg("s")).first()[0]
         out.append((int(k), float(best.summary.trainingCost), float(s)))
+    v.unpersist()
     return rows.sparkSession.createDataFrame(out, "k int, inertia double, silhouette double")
 
 
@@ -89,9 +90,14 @@ def histogram(rows: DataFrame, value: str, bins: int = 80) -> DataFrame:
     return rows.where(F.col(value).isNotNull()).select(at.alias("bin")).groupBy("bin").agg(F.count("*").alias("n"))
 
 
+def draw(row: Column, seed: int) -> Column:
+    """A number that depends on a row's id and the seed alone, by two steps of a congruential generator."""
+    return F.pmod(F.pmod(F.pmod(row.cast("long"), F.lit(2147483647)) * 16807 + seed, F.lit(2147483647)) * 48271, F.lit(2147483647))
+
+
 def sample_rows(rows: DataFrame, n: int, row: str, seed: int = 42) -> DataFrame:
-    """``n`` rows without replacement, chosen by a hash of their id, in order of the id."""
-    return rows.orderBy(F.xxhash64(row, F.lit(seed)), row).limit(n).orderBy(row)
+    """``n`` rows without replacement, chosen by a draw from their whole-number id, in order of the id."""
+    return rows.orderBy(draw(F.col(row), seed), row).limit(n).orderBy(row)
 
 
 def max_off_diagonal(pairs: DataFrame) -> DataFrame:

@@ -6,8 +6,11 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from ..constants import BONES, PARENTS
+from ..staging import stage
+from .analysis import draw
 
 
 def bone_table(spark, bones: Sequence[str] = BONES) -> DataFrame:
@@ -63,14 +66,19 @@ def stack_views(first: DataFrame, second: DataFrame) -> DataFrame:
     return first.withColumn("view", F.lit(0)).unionByName(second.withColumn("view", F.lit(1)))
 
 
-def split_rows(rows: DataFrame, row: str, n: int, share: float, seed: int = 42) -> DataFrame:
-    """Add ``is_validation`` for row numbers below ``n``: the first ``share`` of a seeded permutation.
+def split_rows(rows: DataFrame, row: str, share: float, seed: int = 42) -> DataFrame:
+    """Add ``is_validation``: the first ``share`` of the rows (rounded down) in a seeded order of their whole-number ids.
 
-    The permutation is made on the driver, eight bytes a row, as the trainer does; its validation rows are
-    joined by row number.
+    The order is that of ``analysis.draw``. Its ranks come from a range partition, so neither the driver
+    nor a task sees all rows; rows of equal id are ordered arbitrarily.
     """
-    from .train import split
-
-    _, held = split(n, share, seed)
-    table = rows.sparkSession.createDataFrame([(int(k),) for k in held], "held long")
-    return rows.join(table, rows[row] == table["held"], "left").withColumn("is_validation", F.col("held").isNotNull()).drop("held")
+    order = stage(rows.withColumn("drawn", draw(F.col(row), seed)).repartitionByRange("drawn", row).withColumn("part", F.spark_partition_id()), "split-rows")
+    sizes = {r["part"]: r["n"] for r in order.groupBy("part").agg(F.count("*").alias("n")).collect()}
+    held, before, offsets = int(sum(sizes.values()) * share), 0, []
+    for part in sorted(sizes):
+        offsets.append((part, before))
+        before += sizes[part]
+    first = rows.sparkSession.createDataFrame(offsets, "part int, before long")
+    rank = F.row_number().over(W.partitionBy("part").orderBy("drawn", row))
+    ranked = order.withColumn("rank", rank).join(F.broadcast(first), "part")  # a row for each partition
+    return ranked.withColumn("is_validation", F.col("rank") + F.col("before") <= held).select(*rows.columns, "is_validation")

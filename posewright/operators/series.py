@@ -113,18 +113,61 @@ def mid_frame_grid(clips: DataFrame, fps: int = 30) -> DataFrame:
     return rows.withColumn("t", t).withColumn("source_t", F.least(t, F.col("duration") - 1e-6))
 
 
-def sample_linear(grid: DataFrame, keys: DataFrame, key: Sequence[str], value: str) -> DataFrame:
-    """Value of a curve at each ``source_t``: linear between the keys around it, the end keys outside.
+def sample_curves(grid: DataFrame, keys: DataFrame, key: Sequence[str], values: Sequence[str]) -> DataFrame:
+    """Values of curves at each ``source_t``: linear between the keys around it, the end keys outside.
 
-    Curve segments ``[time, next time)`` are joined by key and compared, so a grid point meets one segment.
+    Each key carries its successor, and one sort of keys and grid points by time gives a point the last key
+    at or before it. Points of a clip without keys, and without a time, are left out; of keys at one time, the
+    last by their values stands.
     """
-    w = W.partitionBy(*key).orderBy("key_time")
-    seg = keys.select(*key, F.col("key_time").alias("t0"), F.col(value).alias("v0"), F.lead("key_time").over(w).alias("t1"),
-                      F.lead(value).over(w).alias("v1"), F.row_number().over(w).alias("k"))
-    inside = ((F.col("source_t") >= F.col("t0")) | (F.col("k") == 1)) & ((F.col("source_t") < F.col("t1")) | F.col("t1").isNull())
-    share = (F.col("source_t") - F.col("t0")) / (F.col("t1") - F.col("t0"))
-    at = F.when((F.col("source_t") < F.col("t0")) | F.col("t1").isNull(), F.col("v0")).otherwise(F.col("v0") + share * (F.col("v1") - F.col("v0")))
-    return grid.join(seg, list(key)).where(inside).select(*grid.columns, at.alias(value))
+    after = W.partitionBy(*key).orderBy("key_time", *values)
+    known = F.struct(F.col("key_time").alias("t0"), F.lead("key_time").over(after).alias("t1"),
+                     *(F.col(v).cast("double").alias(f"a{k}") for k, v in enumerate(values)), *(F.lead(v).over(after).cast("double").alias(f"b{k}") for k, v in enumerate(values)))
+    steps = keys.select(*key, known.alias("seg")).select(*key, F.col("seg.t0").alias("at"), F.lit(0).alias("is_point"), "seg")
+    point = F.struct(*(F.col(c) for c in grid.columns if c not in key))
+    points = grid.where(F.col("source_t").isNotNull()).select(*key, F.col("source_t").alias("at"), F.lit(1).alias("is_point"), point.alias("point"))
+    both = points.unionByName(steps, allowMissingColumns=True)
+    w = W.partitionBy(*key).orderBy("at", "is_point", F.col("seg.t1").isNull(), "seg.t1")
+    seen = F.last("seg", ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0))
+    first = F.first("seg", ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
+    near = both.withColumn("seen", seen).withColumn("first", first).where("is_point = 1 AND first IS NOT NULL")
+    share = (F.col("at") - F.col("seen.t0")) / (F.col("seen.t1") - F.col("seen.t0"))
+    value = lambda k: F.when(F.col("seen").isNull(), F.col(f"first.a{k}")).when(F.col("seen.t1").isNull(), F.col(f"seen.a{k}")).otherwise(
+        F.col(f"seen.a{k}") + share * (F.col(f"seen.b{k}") - F.col(f"seen.a{k}")))
+    return near.select(*(F.col(c) if c in key else F.col(f"point.{c}").alias(c) for c in grid.columns), *(value(k).alias(v) for k, v in enumerate(values)))
+
+
+def sample_linear(grid: DataFrame, keys: DataFrame, key: Sequence[str], value: str) -> DataFrame:
+    """``sample_curves`` of one value."""
+    return sample_curves(grid, keys, key, [value])
+
+
+QUATERNION = ("qx", "qy", "qz", "qw")
+
+
+def sample_rotation(grid: DataFrame, keys: DataFrame, key: Sequence[str], values: Sequence[str] = QUATERNION) -> DataFrame:
+    """Unit quaternions at each ``source_t``: linear between the keys around it, the later one turned to the hemisphere
+    of the earlier, then normalised; a zero quaternion becomes the identity."""
+    order = W.partitionBy(*key).orderBy("key_time", *values)
+    dot = sum((F.col(v) * F.lag(v).over(order) for v in values[1:]), F.col(values[0]) * F.lag(values[0]).over(order))
+    flips = F.sum(F.when(F.col("turn") < 0, 1).otherwise(0)).over(order.rowsBetween(W.unboundedPreceding, 0))
+    turned = keys.withColumn("turn", dot).withColumn("flips", flips)
+    smooth = turned.select(*key, "key_time", *(F.when(F.col("flips") % 2 == 1, -F.col(v)).otherwise(F.col(v)).alias(v) for v in values))
+    out = sample_curves(grid, smooth, key, values)
+    size = F.sqrt(sum((F.col(v) * F.col(v) for v in values[1:]), F.col(values[0]) * F.col(values[0])))
+    still = dict(zip(values, (0.0, 0.0, 0.0, 1.0), strict=True))
+    return out.withColumns({v: F.when(size > 0, F.col(v) / size).otherwise(still[v]) for v in values})
+
+
+def sample_track(grid: DataFrame, positions: DataFrame, rotations: DataFrame, key: Sequence[str], position: Sequence[str] = ("px", "py", "pz"),
+                 rotation: Sequence[str] = QUATERNION) -> DataFrame:
+    """Position and rotation of a track at each ``source_t``, each from its own keys; a track without them stays at the identity."""
+    at = [*key, "frame_ix"]
+    moved = sample_curves(grid, positions, key, position).select(*at, *position)
+    turned = sample_rotation(grid, rotations, key, rotation).select(*at, *rotation)
+    still = {**dict.fromkeys(position, 0.0), **dict.fromkeys(rotation, 0.0), rotation[-1]: 1.0}
+    out = grid.join(moved, at, "left").join(turned, at, "left")
+    return out.select(*grid.columns, *(F.coalesce(F.col(c), F.lit(still[c])).alias(c) for c in (*position, *rotation)))
 
 
 def sample_marker(grid: DataFrame, markers: DataFrame, key: Sequence[str], value: str) -> DataFrame:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import BONES_WITH_ROOT
+from .analysis import draw
 
 CURVE_CLASS = "CurveAnimation"
 
@@ -30,6 +32,13 @@ def track_order(order: Sequence[str] = ()) -> list[str]:
     return list(order) or list(BONES_WITH_ROOT)
 
 
-def add_noise(x: Column, sigma: float = 0.02, seed: int = 0) -> Column:
-    """A value with seeded Gaussian noise."""
-    return x + F.lit(sigma) * F.randn(seed)
+def registered_clips(clips: DataFrame, registers: Column) -> tuple[DataFrame, DataFrame]:
+    """Clips of any kind that register, and those that are skipped; a null test is no."""
+    ok = F.coalesce(registers, F.lit(False))
+    return clips.where(ok), clips.where(~ok)
+
+
+def add_noise(x: Column, row: Column, sigma: float = 0.02, seed: int = 0) -> Column:
+    """A value with Gaussian noise that depends on the row's whole-number id and the seed alone, by Box and Muller."""
+    u, v = ((draw(row, seed + k) + 0.5) / 2147483647 for k in (1, 2))
+    return x + F.lit(sigma) * F.sqrt(-2 * F.log(u)) * F.cos(F.lit(2 * math.pi) * v)

@@ -217,7 +217,7 @@ def poses_of_all_bones(spark, d):
     return joins.poses_of_bones(_tracks(spark, d), ["clip"], BONES, {"px": 0.0, "lx": 0.0}).select("clip", "bone_ix", "bone", "px", "lx")
 
 
-@query("bones_with_parent", f"""WITH {TRACKS}, p(bone, parent) AS (VALUES {", ".join(f"('{b}', '{p}')" for b, p in PARENTS.items())}), one AS (SELECT clip, bone, max(px) AS px FROM tracks GROUP BY clip, bone)
+@query("bones_with_parent", f"""WITH {TRACKS}, p(bone, parent) AS (VALUES {", ".join(f"('{b}', '{p}')" for b, p in PARENTS.items())}), one AS MATERIALIZED (SELECT clip, bone, max(px) AS px FROM tracks GROUP BY clip, bone)
 SELECT o.clip, o.bone, o.px, u.px AS px_parent FROM one o JOIN p ON p.bone = o.bone LEFT JOIN one u ON u.clip = o.clip AND u.bone = p.parent""")
 def bones_with_parent(spark, d):
     one = _tracks(spark, d).groupBy("clip", "bone").agg(F.max("px").alias("px"))

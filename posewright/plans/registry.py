@@ -28,4 +28,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def load() -> None:
     """Register the queries of all plan modules."""
-    from . import clips, embeddings, flows, series  # noqa: F401
+    from . import clips, embeddings, files, flows, series  # noqa: F401

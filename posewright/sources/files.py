@@ -63,9 +63,9 @@ def catalog_ids(rows: DataFrame, column: str) -> DataFrame:
 
 
 def read_catalog(spark: SparkSession, path: str) -> DataFrame:
-    """Ids of a catalog file: the first column of a delimited file with quotes."""
-    rows = spark.read.csv(path, header=False, multiLine=True, quote='"', escape='"', inferSchema=False)
-    return catalog_ids(rows, rows.columns[0])
+    """Ids of a catalog file: the first column of a delimited file with quotes, by the rules of ``parse_quoted``."""
+    texts = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
+    return catalog_ids(quoted_rows(texts, "file", "value").select(F.get("fields", F.lit(0)).alias("first")), "first")
 
 
 def list_clips(spark: SparkSession, folder: str, pattern: str = "*.rbxm") -> DataFrame:
@@ -115,6 +115,24 @@ def positions(poses: DataFrame) -> DataFrame:
     return each.select("path", "frame", "bone_ix", *(F.get("feat", F.col("bone_ix") * 6 + k).alias(c) for k, c in enumerate(FIELDS[:3])))
 
 
+def rows_and_rejects(lines: DataFrame, components: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Rows of an embeddings file, and ``line, reason`` of the lines that give none, so that a bad one does not end the job.
+
+    Lines ``value`` of too few fields, and lines with a number that cannot be read or is not finite, are
+    rejects; the header is neither.
+    """
+    split = lines.select(F.col("value").alias("line"), F.split("value", ",").alias("f")).where(F.col("f")[0] != "animId")
+    rest = F.slice("f", 4, components) if components else F.expr("slice(f, 4, size(f))")
+    number = lambda x: x.try_cast("double")
+    bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
+    least = components + 3 if components else 4
+    read = split.select("line", F.size("f").alias("n"), F.col("f")[0].alias("anim_id"), F.get("f", F.lit(1)).alias("clip_id"), number(F.get("f", F.lit(2))).alias("duration"),
+                        F.when(F.size("f") >= least, F.transform(rest, number)).alias("emb"))
+    reason = F.when(F.col("n") < least, "too few fields").when(bad(F.col("duration")) | F.exists("emb", bad), "bad number")
+    judged = read.withColumn("reason", reason)
+    return judged.where("reason IS NULL").select("anim_id", "clip_id", "duration", "emb"), judged.where("reason IS NOT NULL").select("line", "reason")
+
+
 def read_embeddings(spark: SparkSession, path: str, clean: bool = False, components: int | None = None) -> DataFrame:
     """``anim_id, clip_id, duration, emb`` of an embeddings file.
 
@@ -135,4 +153,9 @@ def embedding_rows(lines: DataFrame, clean: bool = False, components: int | None
 def read_packed(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
     """Packed clips in order of ``row_ix``; with ``limit``, the first of them."""
     clips = spark.read.parquet(path)
-    return clips if limit is None else clips.orderBy("row_ix").limit(limit)
+    return clips if limit is None else first_rows(clips, "row_ix", limit)
+
+
+def first_rows(clips: DataFrame, order: str, limit: int) -> DataFrame:
+    """The first ``limit`` rows in order."""
+    return clips.orderBy(order).limit(limit)

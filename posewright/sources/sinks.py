@@ -11,10 +11,21 @@ from .files import POSE_COLUMNS
 
 
 def fixed(x: Column, places: int) -> Column:
-    """A number with a fixed count of decimals, without a sign for a zero."""
+    """A number with a fixed count of decimals; a negative zero keeps its sign."""
     return F.format_string(f"%.{places}f", x.cast("double"))
 
 
+# Header lines of the files; embeddings have one more name for each component.
+HASH_HEADER = "animId,clipId,duration,hashFnv1a,hashMurmur"
+MANIFEST_HEADER = "animId,clipId,duration,numFrames"
+EMBEDDING_HEADER = "animId,clipId,duration"
+GROUP_HEADER = "animId,clipId,duration,groupId"
+
+
+def embedding_header(components: int) -> str:
+    return ",".join([EMBEDDING_HEADER, *(f"emb{k}" for k in range(1, components + 1))])
+
+
 def hash_lines(rows: DataFrame) -> DataFrame:
     """``line`` of the fingerprint file: ids, duration, both hashes."""
     return rows.select(F.concat_ws(",", "anim_id", "clip_id", fixed(F.col("duration"), 6), F.col("hash_fnv").cast("string"),
@@ -40,9 +51,17 @@ def embedding_lines(rows: DataFrame, order: str) -> DataFrame:
     return rows.select(order, F.concat_ws(",", "anim_id", "clip_id", fixed(F.col("duration"), 6), values).alias("line"))
 
 
-def write_lines(lines: DataFrame, path: str, order: Sequence[str] = ()) -> None:
-    """One line for each row, in order over the files if columns to order by are given."""
-    rows = lines.orderBy(*order) if order else lines
+def group_file_lines(rows: DataFrame, order: str) -> DataFrame:
+    """``order, line`` of the groups file: every clip with its group's number."""
+    return rows.select(order, F.concat_ws(",", "anim_id", "clip_id", fixed(F.col("duration"), 6), F.col("group_id").cast("string")).alias("line"))
+
+
+def write_lines(lines: DataFrame, path: str, order: Sequence[str] = (), header: str | None = None) -> None:
+    """One line for each row, in order over the files if columns to order by are given; a header is the first line of the first file."""
+    rows = lines.select(F.lit(1).alias("body"), *order, "line")
+    if header is not None:
+        rows = rows.unionByName(lines.sparkSession.createDataFrame([(0, header)], "body int, line string"), allowMissingColumns=True)
+    rows = rows.orderBy("body", *order) if order or header is not None else rows
     rows.select("line").write.text(path)
 
 

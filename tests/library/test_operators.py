@@ -2,10 +2,11 @@
 
 import math
 
+import duckdb
 import numpy as np
 import pytest
 from posewright.operators import analysis, components, encode, fingerprint, groups, joins, series, similarity, train
-from posewright.plans import embeddings
+from posewright.plans import embeddings, registry
 from posewright.sources import files, sinks
 from posewright.streaming import duplicates
 from pyspark.sql import functions as F
@@ -277,3 +278,70 @@ def test_stream_equals_batch(spark, tmp_path):
     events.repartition(3).write.parquet(str(tmp_path / "in"))
     got = {r.key: r.n for r in duplicates.count_folder(spark, str(tmp_path / "in"), events.schema, F.col("kind"), "test").collect()}
     assert got == {r.key: r.n for r in duplicates.running_counts(events, F.col("kind")).collect()}
+
+
+def test_copies_lose_no_link(spark, tmp_path):
+    base = [[1.0, 0.0, 0.2], [0.9, 0.1, 0.2], [0.0, 1.0, 0.0], [1.0, 0.0, 0.2], [2.0, 0.0, 0.4], [0.0, 1.0, 0.0], [1.0, 0.0, 0.2], [-1.0, 0.0, 0.0]]
+    df = spark.createDataFrame(list(enumerate(base)), "vec_id long, embedding array<double>")
+    df.write.parquet(str(tmp_path / "embeddings.parquet"))
+    u = np.array(base) / np.linalg.norm(base, axis=1, keepdims=True)
+    want = {(i, j) for i in range(8) for j in range(i + 1, 8) if u[i] @ u[j] >= embeddings.T}
+    first = {k: min(j for j in range(8) if base[j] == base[k]) for k in range(8)}
+
+    def rebuilt(links):
+        near = {(i, j) for i, j in links if first[i] != first[j]}
+        assert all(first[i] == i and first[j] == j for i, j in near) and all(first[j] == i for i, j in links if first[i] == first[j])
+        return {(i, j) for i in range(8) for j in range(i + 1, 8) if tuple(sorted((first[i], first[j]))) in near or first[i] == first[j]}
+
+    got = embeddings.similar_pairs(spark, str(tmp_path)).collect()
+    assert rebuilt([(r.i, r.j) for r in got]) == want and all(abs(r.sim - u[r.i] @ u[r.j]) < 1e-5 for r in got)
+    both = {(r.i, r.j) for r in embeddings.symmetric_edges(spark, str(tmp_path)).collect()}
+    assert both == {(a, b) for r in got for a, b in ((r.i, r.j), (r.j, r.i))}
+    assert [r.max_sim for r in embeddings.max_similarity(spark, str(tmp_path)).collect()] == [1.0]
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    assert sorted(con.sql(registry.ORACLES["similar_pairs"]).fetchall()) == sorted(map(tuple, got))
+    zeros = spark.createDataFrame([(1, [0.0, 0.0]), (2, [0.0, 0.0])], "id long, e array<double>")
+    assert similarity.similar_rows(zeros, 0.5, "id", "e").collect() == []
+
+
+def test_curves_between_keys(spark):
+    rng = np.random.default_rng(6)
+    keys = [(c, float(t), float(rng.normal()), float(rng.normal())) for c in range(5) for t in sorted(rng.choice(20, c, replace=False))] + [(7, 1.0, 5.0, 6.0), (7, 1.0, 7.0, 8.0)]
+    grid = [(c, k, k * 0.7 - 1) for c in (*range(5), 7, 8) for k in range(35)] + [(2, 99, None)]
+    got = series.sample_curves(spark.createDataFrame(grid, "clip int, frame_ix int, source_t double"), spark.createDataFrame(keys, "clip int, key_time double, x double, y double"), KEY, ["x", "y"]).collect()
+    mine = {c: [k for k in keys if k[0] == c] for c in range(9)}
+    assert len(got) == sum(bool(mine[c]) and t is not None for c, _, t in grid)
+    for r in got:
+        if r.clip == 7:
+            assert (r.x, r.y) == ((5.0, 6.0) if r.source_t < 1 else (7.0, 8.0))
+            continue
+        times = [k[1] for k in mine[r.clip]]
+        for name, at in (("x", 2), ("y", 3)):
+            assert r[name] == pytest.approx(np.interp(r.source_t, times, [k[at] for k in mine[r.clip]]), abs=1e-12)
+
+
+def test_rotations_take_the_short_way(spark):
+    q = lambda a, s=1.0: (0.0, 0.0, s * math.sin(a / 2), s * math.cos(a / 2))
+    keys = [(1, 0.0, *q(0.2)), (1, 1.0, *q(0.6, -1.0)), (1, 2.0, *q(0.8)), (2, 0.0, 0.0, 0.0, 0.0, 0.0)]
+    rows = spark.createDataFrame(keys, "clip int, key_time double, qx double, qy double, qz double, qw double")
+    grid = spark.createDataFrame([(1, 0, 0.5), (1, 1, 1.5), (2, 0, 0.0), (3, 0, 1.0)], "clip int, frame_ix int, source_t double")
+    got = {(r.clip, r.frame_ix): r for r in series.sample_track(grid, rows.limit(0).withColumns({c: F.lit(1.0) for c in ("px", "py", "pz")}), rows, KEY).collect()}
+    for at, angle in (((1, 0), 0.4), ((1, 1), 0.7)):
+        assert abs(2 * math.atan2(got[at].qz, got[at].qw)) % (2 * math.pi) == pytest.approx(angle, abs=1e-3) or 2 * math.pi - abs(2 * math.atan2(got[at].qz, got[at].qw)) == pytest.approx(angle, abs=1e-3)
+    assert got[2, 0].qw == 1.0 and (got[3, 0].qw, got[3, 0].qx, got[3, 0].px) == (1.0, 0.0, 0.0)
+
+
+def test_split_is_whole_and_repeatable(spark):
+    rows = spark.createDataFrame([(k * 7,) for k in range(101)], "id long")
+    a, b = ({(r.id, r.is_validation) for r in joins.split_rows(x, "id", 0.2).collect()} for x in (rows, rows.repartition(7)))
+    assert a == b and len(a) == 101 and sum(v for _, v in a) == 20
+    assert joins.split_rows(rows.limit(0), "id", 0.2).collect() == []
+
+
+def test_bad_lines_are_put_aside(spark):
+    lines = spark.createDataFrame([("animId,clipId,duration,emb1,emb2",), ("1,2,0.5,0.25,-1",), ("3,4,1",), ("5,6,x,1,2",), ("7,8,1,nan,2",), ("",), ("9,9,2,1,2,3",)], "value string")
+    rows, rejects = files.rows_and_rejects(lines)
+    assert sorted((r.anim_id, len(r.emb)) for r in rows.collect()) == [("1", 2), ("9", 3)]
+    assert sorted((r.line, r.reason) for r in rejects.collect()) == [("", "too few fields"), ("3,4,1", "too few fields"), ("5,6,x,1,2", "bad number"), ("7,8,1,nan,2", "bad number")]
+    assert sorted((r.anim_id, len(r.emb)) for r in files.rows_and_rejects(lines, 2)[0].collect()) == [("1", 2), ("9", 2)]

@@ -1,5 +1,6 @@
 """Staged tables: where they are written, and that they go."""
 
+import pytest
 from posewright import staging
 
 
@@ -22,3 +23,25 @@ def test_root_is_in_the_folder_of_the_session(spark):
     configured = spark.conf.get("spark.checkpoint.dir", None)
     root = staging.shared_root(spark)
     assert root.startswith(configured.rstrip("/") if configured else "file:///")
+
+
+def test_a_cluster_must_name_its_folder():
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Session:
+        conf = Conf()
+
+        class sparkContext:  # noqa: N801
+            master, applicationId = "spark://host:7077", "app"
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        staging.shared_root(Session())
+
+
+def test_long_rows_get_more_files(spark, monkeypatch):
+    df = spark.range(0, 40, 1, 20)
+    assert len(staging.stage(df, "few", rows=40).inputFiles()) == staging.LEAST_FILES
+    monkeypatch.setattr(staging, "BYTES_A_FILE", 10)
+    assert len(staging.stage(df, "more", rows=40, size=120).inputFiles()) == 12
