@@ -23,7 +23,7 @@ FIRST_DIGIT, GROWTH, MAX_DIGIT = 32, 4, 1 << 20
 BROADCAST_BYTES = 64 << 20
 
 
-def _level(active: DataFrame, width: int, n: int) -> tuple[DataFrame, DataFrame]:
+def _level(active: DataFrame, width: int, n: int, held_bytes: int) -> tuple[DataFrame, DataFrame]:
     """Split the groups of ``active`` by one digit; the counted groups and the rows that stay in them.
 
     A digit carries an end mark: a rest that is exactly used up differs from one that goes on.
@@ -32,7 +32,7 @@ def _level(active: DataFrame, width: int, n: int) -> tuple[DataFrame, DataFrame]
     dealt = active.select(
         "gid", "doc_id", "text_sha256",
         F.substring("rest", 1, width).alias("digit"),
-        (size <= width).alias("ended"),
+        (size <= width).alias("ended"), F.greatest(size - width, F.lit(0)).alias("left"),
         F.when(size > width, F.expr(f"substring(rest, {width + 1})")).alias("rest"))
     groups = stage(
         dealt.groupBy("gid", "digit", "ended")
@@ -42,8 +42,8 @@ def _level(active: DataFrame, width: int, n: int) -> tuple[DataFrame, DataFrame]
     held = groups.agg(F.coalesce(F.sum(F.octet_length("digit") + 64), F.lit(0))).first()[0]
     near = F.broadcast(groups) if held <= BROADCAST_BYTES else groups
     rows = dealt.join(near, ["gid", "digit", "ended"]).select(
-        F.col("next").alias("gid"), "doc_id", "text_sha256", "rest", "ended", "n", "keep_id")
-    return groups, stage(rows, "radix-rows", rows=n if width > FIRST_DIGIT else None)
+        F.col("next").alias("gid"), "doc_id", "text_sha256", "rest", "left", "ended", "n", "keep_id")
+    return groups, stage(rows, "radix-rows", rows=n if width > FIRST_DIGIT else None, size=held_bytes)
 
 
 def classes(docs: DataFrame) -> DataFrame | None:
@@ -51,13 +51,13 @@ def classes(docs: DataFrame) -> DataFrame | None:
     active = docs.select(F.lit(0).cast("long").alias("gid"), "doc_id",
                          F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"),
                          F.col("text").cast("binary").alias("rest"))
-    width, found, n = FIRST_DIGIT, [], docs.count()
+    width, found, n, held = FIRST_DIGIT, [], docs.count(), 0
     while True:
-        groups, rows = _level(active, width, n)
+        groups, rows = _level(active, width, n, held)
         going = rows.where(~F.col("ended"))
         found.append(rows.where("ended").select("doc_id", "text_sha256", "keep_id", F.col("n").alias("group_size")))
         discard(groups)
-        n = going.count()
+        n, held = going.agg(F.count("*"), F.coalesce(F.sum("left"), F.lit(0))).first()
         if not n:
             break
         active = going.select("gid", "doc_id", "text_sha256", "rest")
