@@ -25,8 +25,8 @@ ORDER, MIN_NODE = 3, 16
 #: The classifier is fitted on about this many labelled documents of each language, chosen by a hash of their id.
 MAX_DOCS = 4000
 START, SLICE = 10, 1 << 20
-#: Bits by which a text's code must exceed a code that knows no language before the text counts as in none.
-MARGIN = 16.0
+#: Bits by which a text's code must exceed a code that knows no language before the text counts as in none; a few odd words do not reach it.
+MARGIN = 64.0
 UNKNOWN = "und"
 
 
