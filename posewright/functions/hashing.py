@@ -14,6 +14,10 @@ FNV_BASIS, FNV_PRIME = 0x811C9DC5, 16777619
 C1, C2, ADD, MIX1, MIX2 = 0xCC9E2D51, 0x1B873593, 0xE6546B64, 0x85EBCA6B, 0xC2B2AE35
 
 
+#: Bytes, about, of texts that are hashed together.
+SLICE = 16 << 20
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with the value computed once, whatever number of times the body uses it."""
     return F.element_at(F.transform(F.array(value), body), 1)
@@ -76,7 +80,7 @@ def fnv1a_batch(values: list[bytes]) -> np.ndarray:
     """FNV-1a of each byte string, all strings advanced together byte by byte, longest first."""
     sizes = np.fromiter(map(len, values), np.int64, len(values))
     order = np.argsort(-sizes, kind="stable")
-    data = np.frombuffer(b"".join(values[i] for i in order), np.uint8).astype(np.uint64)
+    data = np.frombuffer(b"".join(values[i] for i in order), np.uint8)
     sizes = sizes[order]
     start = np.cumsum(sizes) - sizes
     h = np.full(len(values), FNV_BASIS, np.uint64)
@@ -87,7 +91,7 @@ def fnv1a_batch(values: list[bytes]) -> np.ndarray:
         live = int(np.searchsorted(-sizes, -i, "left"))
     for k in range(live):
         x = int(h[k])
-        for b in data[start[k] + i:start[k] + sizes[k]].astype(np.uint8).tobytes():
+        for b in data[start[k] + i:start[k] + sizes[k]].tobytes():
             x = ((x ^ b) * FNV_PRIME) & MASK
         h[k] = x
     out = np.empty(len(values), np.int64)
@@ -98,4 +102,7 @@ def fnv1a_batch(values: list[bytes]) -> np.ndarray:
 @F.pandas_udf(T.LongType())
 def fnv1a_text(text: pd.Series) -> pd.Series:
     """FNV-1a of the UTF-8 bytes of a text; null counts as empty."""
-    return pd.Series(fnv1a_batch([("" if t is None else t).encode() for t in text]))
+    values = [("" if t is None else t).encode() for t in text]
+    part = np.cumsum([len(v) for v in values]) // SLICE
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(values)]
+    return pd.Series(np.concatenate([fnv1a_batch(values[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]))

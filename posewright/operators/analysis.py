@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
-import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -12,6 +13,9 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import dot, unit
 
+#: Rows, at most, over which a silhouette is computed, and rows of their distances that are held at once.
+SILHOUETTE_ROWS, STRIP = 5000, 512
+
 
 def principal_components(rows: DataFrame, vector: str, k: int = 2) -> tuple[DataFrame, list[float]]:
     """``rows`` with ``pc``, the first ``k`` components about the mean, and each component's share of the variance.
@@ -39,26 +43,54 @@ def cluster(rows: DataFrame, vector: str, k: int = 12, seed: int = 42, restarts:
     return best.transform(v).drop("__v")
 
 
-def cluster_choice(rows: DataFrame, vector: str, ks, seed: int = 42, restarts: int = 5) -> DataFrame:
-    """``k, inertia, silhouette`` for each ``k``; the silhouette is the simplified one, by distance to centres."""
+def silhouette(x: np.ndarray, labels: Sequence[np.ndarray]) -> list[float | None]:
+    """Mean silhouette of the rows of ``x`` by Euclidean distance, for each labelling; strips of the distances are shared.
+
+    A row alone in its cluster counts as zero. With one cluster, or none, there is no silhouette.
+    """
+    n, total = len(x), np.zeros(len(labels))
+    hot, size = [], []
+    for label in labels:
+        _, at = np.unique(label, return_inverse=True)
+        hot.append(np.eye(at.max() + 1)[at] if n else np.zeros((0, 0)))
+        size.append(hot[-1].sum(axis=0))
+    square = (x * x).sum(axis=1)
+    for a in range(0, n, STRIP):
+        rows = np.arange(a, min(n, a + STRIP))
+        d = np.sqrt(np.maximum(square[rows, None] + square[None] - 2 * x[rows] @ x.T, 0.0))
+        d[np.arange(len(rows)), rows] = 0.0
+        for k, (h, m) in enumerate(zip(hot, size, strict=True)):
+            own = h[rows] > 0
+            if h.shape[1] < 2:
+                continue
+            sums = d @ h
+            others = (h[rows] @ m) - 1
+            inside = np.where(others > 0, sums[own] / np.maximum(others, 1), 0.0)
+            outside = np.where(own, np.inf, sums / m).min(axis=1)
+            widest = np.maximum(inside, outside)
+            total[k] += np.where((others > 0) & (widest > 0), (outside - inside) / np.where(widest > 0, widest, 1.0), 0.0).sum()
+    return [float(t / n) if h.shape[1] > 1 else None for t, h in zip(total, hot, strict=True)]
+
+
+def cluster_choice(rows: DataFrame, vector: str, ks, seed: int = 42, restarts: int = 5, sample: int = SILHOUETTE_ROWS) -> DataFrame:
+    """``k, inertia, silhouette`` for each ``k``.
+
+    The silhouette is the exact one over ``sample`` rows at most, chosen by a hash of their vectors, since
+    it compares all pairs; the clusters are fitted on all rows.
+    """
     v = rows.withColumn("__v", array_to_vector(F.transform(vector, lambda x: x.cast("double")))).cache()
-    out = []
+    chosen = rows.select(F.transform(vector, lambda x: x.cast("double")).alias("v")).orderBy(F.xxhash64("v", F.lit(seed)), "v").limit(sample)
+    x = np.array([r["v"] for r in chosen.collect()], np.float64)
+    out, labels = [], []
     for k in ks:
         models = [KMeans(k=k, seed=seed + r, featuresCol="__v", predictionCol="c").fit(v) for r in range(restarts)]
         best = min(models, key=lambda m: m.summary.trainingCost)
         centres = np.array(best.clusterCenters())
-
-        def score(frames, centres=centres):
-            for f in frames:
-                x = np.array(f["v"].tolist())
-                d = np.sqrt(((x[:, None, :] - centres[None]) ** 2).sum(axis=2))
-                near = np.sort(d, axis=1)
-                yield pd.DataFrame({"s": (near[:, 1] - near[:, 0]) / np.maximum(near[:, 1], 1e-12)})
-
-        s = rows.select(F.transform(vector, lambda x: x.cast("double")).alias("v")).mapInPandas(score, "s double").agg(F.avg("s")).first()[0]
-        out.append((int(k), float(best.summary.trainingCost), float(s)))
+        labels.append(((centres * centres).sum(axis=1) - 2 * x @ centres.T).argmin(axis=1))
+        out.append((int(k), float(best.summary.trainingCost)))
     v.unpersist()
-    return rows.sparkSession.createDataFrame(out, "k int, inertia double, silhouette double")
+    scored = [(*o, s) for o, s in zip(out, silhouette(x, labels), strict=True)]
+    return rows.sparkSession.createDataFrame(scored, "k int, inertia double, silhouette double")
 
 
 def random_pairs(spark, n: int, draws: int, seed: int = 12345) -> DataFrame:

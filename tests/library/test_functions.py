@@ -5,6 +5,7 @@ import random
 import struct
 
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -50,6 +51,13 @@ def test_byte_hashes(spark):
     assert [r.h for r in got] == [fnv(b""), fnv("é".encode())]
 
 
+def test_byte_hashes_in_slices(monkeypatch):
+    monkeypatch.setattr(hashing, "SLICE", 64)
+    values = pd.Series([None, "", *("é" * (k % 50) for k in range(90)), "x" * 300, None])
+    assert hashing.fnv1a_text.func(values).tolist() == [fnv((v or "").encode()) for v in values]
+    assert hashing.fnv1a_text.func(pd.Series([], dtype=object)).tolist() == []
+
+
 def test_quantize_and_wrap(spark):
     rows = spark.createDataFrame([(x,) for x in (-0.015, -0.005, 0.0, 0.005, 1.0, 0.015)], "x double")
     got = rows.select(vectors.quantize(F.col("x"), 0.01).alias("q"), hashing.u32(vectors.quantize(F.col("x"), 0.01)).alias("w")).collect()

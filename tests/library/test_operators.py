@@ -209,6 +209,24 @@ def test_cluster_choice_covers_the_range(spark, tmp_path, monkeypatch):
     assert asked == [([], 5), (list(range(4, 10)), 5), (list(range(4, 21)), 5)]
 
 
+@pytest.mark.parametrize("n", [0, 1, 40, 700])
+def test_silhouette_equals_the_definition(n):
+    rng = np.random.default_rng(n)
+    x = np.round(rng.normal(size=(n, 2)), 1)  # with rows that are equal
+    labels = [rng.integers(0, 3, n), np.zeros(n, int), np.minimum(np.arange(n), 1)]
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    for label, got in zip(labels, analysis.silhouette(x, labels), strict=True):
+        each = []
+        for i in range(n):
+            inside = [d[i, j] for j in range(n) if j != i and label[j] == label[i]]
+            outside = [d[i, label == c].mean() for c in set(label.tolist()) - {label[i]}]
+            if not outside:
+                break
+            a, b = np.mean(inside) if inside else 0.0, min(outside)
+            each.append((b - a) / max(a, b) if inside and max(a, b) > 0 else 0.0)
+        assert got is None if not each else got == pytest.approx(np.mean(each), abs=1e-6)
+
+
 def test_greatest_similarity_may_be_low(spark, tmp_path):
     for k, (vectors, best) in enumerate([([[1.0, 0.0], [0.2, 1.0]], 0.196116), ([[1.0, 0.0], [-1.0, 0.0]], -1.0), ([[1.0, 0.0]], None)]):
         spark.createDataFrame(list(enumerate(vectors)), "vec_id long, embedding array<double>").write.parquet(str(tmp_path / f"{k}" / "embeddings.parquet"))
