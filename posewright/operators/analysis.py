@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
-from pyspark.ml.clustering import KMeans
+from pyspark import inheritable_thread_target
+from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
@@ -15,6 +17,8 @@ from ..functions.vectors import dot, unit
 
 #: Rows, at most, over which a silhouette is computed, and rows of their distances that are held at once.
 SILHOUETTE_ROWS, STRIP = 5000, 512
+#: Fits of k-means that run at a time.
+FITS = 8
 
 
 def principal_components(rows: DataFrame, vector: str, k: int = 2) -> tuple[DataFrame, list[float]]:
@@ -34,11 +38,19 @@ def principal_components(rows: DataFrame, vector: str, k: int = 2) -> tuple[Data
     return model.transform(v).withColumn("pc", pc).drop("__v", "__pc"), model.explainedVariance.toArray().tolist()
 
 
+def _best_fits(v: DataFrame, ks, seed: int, restarts: int, column: str) -> list[KMeansModel]:
+    """For each ``k`` the restart of k-means on ``__v`` with the least cost; fits are many small jobs, so some run side by side."""
+    asked = [(k, seed + r) for k in ks for r in range(restarts)]
+    fit = inheritable_thread_target(v.sparkSession)(lambda a: KMeans(k=a[0], seed=a[1], featuresCol="__v", predictionCol=column).fit(v))
+    with ThreadPool(FITS) as pool:
+        models = pool.map(fit, asked)
+    return [min(models[a:a + restarts], key=lambda m: m.summary.trainingCost) for a in range(0, len(models), restarts)]
+
+
 def cluster(rows: DataFrame, vector: str, k: int = 12, seed: int = 42, restarts: int = 10) -> DataFrame:
     """``rows`` with ``cluster`` from the restart of k-means that has the least cost."""
     v = rows.withColumn("__v", array_to_vector(F.transform(vector, lambda x: x.cast("double")))).cache()
-    models = [KMeans(k=k, seed=seed + r, featuresCol="__v", predictionCol="cluster").fit(v) for r in range(restarts)]
-    best = min(models, key=lambda m: m.summary.trainingCost)
+    best = _best_fits(v, [k], seed, restarts, "cluster")[0]
     v.unpersist()
     return best.transform(v).drop("__v")
 
@@ -81,10 +93,8 @@ def cluster_choice(rows: DataFrame, vector: str, ks, seed: int = 42, restarts: i
     v = rows.withColumn("__v", array_to_vector(F.transform(vector, lambda x: x.cast("double")))).cache()
     chosen = rows.select(F.transform(vector, lambda x: x.cast("double")).alias("v")).orderBy(F.xxhash64("v", F.lit(seed)), "v").limit(sample)
     x = np.array([r["v"] for r in chosen.collect()], np.float64)
-    out, labels = [], []
-    for k in ks:
-        models = [KMeans(k=k, seed=seed + r, featuresCol="__v", predictionCol="c").fit(v) for r in range(restarts)]
-        best = min(models, key=lambda m: m.summary.trainingCost)
+    out, labels, ks = [], [], list(ks)
+    for k, best in zip(ks, _best_fits(v, ks, seed, restarts, "c"), strict=True):
         centres = np.array(best.clusterCenters())
         labels.append(((centres * centres).sum(axis=1) - 2 * x @ centres.T).argmin(axis=1))
         out.append((int(k), float(best.summary.trainingCost)))
