@@ -89,10 +89,10 @@ def pose_file(spark, d):
     return _pose_file(spark, d).select("frame", F.size("feat").alias("size"), F.round(F.aggregate("feat", F.lit(0.0), lambda s, x: s + x), 5).alias("total"))
 
 
-@query("pose_file_positions", """SELECT CAST(vec_id AS INT) AS frame, CAST(b AS INT) AS bone_ix, round(round(e[6 * b + 1], 8), 6) AS px, round(round(e[6 * b + 2], 8), 6) AS py, round(round(e[6 * b + 3], 8), 6) AS pz
+@query("pose_file_positions", """SELECT CAST(vec_id AS INT) AS frame, CAST(b AS INT) AS bone_ix, CAST(printf('%.8f', e[6 * b + 1]) AS DOUBLE) AS px, CAST(printf('%.8f', e[6 * b + 2]) AS DOUBLE) AS py, CAST(printf('%.8f', e[6 * b + 3]) AS DOUBLE) AS pz
 FROM (SELECT vec_id, list_concat(embedding, embedding)::DOUBLE[] AS e FROM embeddings), (SELECT unnest(range(15)) AS b)""")
 def pose_file_positions(spark, d):
-    return files.positions(_pose_file(spark, d)).select("frame", "bone_ix", *(F.round(c, 6).alias(c) for c in ("px", "py", "pz")))
+    return files.positions(_pose_file(spark, d)).select("frame", "bone_ix", "px", "py", "pz")
 
 
 @query("group_file", f"""WITH r AS (SELECT '{sinks.GROUP_HEADER}' AS line UNION ALL SELECT concat_ws(',', CAST(vec_id AS VARCHAR), '0', printf('%.6f', vec_id / 3), CAST(label AS VARCHAR)) FROM embeddings) SELECT line FROM r""")
