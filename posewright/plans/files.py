@@ -139,7 +139,7 @@ def listed_clips(spark, d):
     return files.list_clips(spark, _folder(spark, d, ".rbxm")).select("anim_id", "clip_id")
 
 
-@query("listed_poses", "SELECT CAST(n_nationkey AS VARCHAR) AS anim_id, CAST(n_regionkey AS VARCHAR) AS clip_id, 0.0 AS duration FROM nation")
+@query("listed_poses", "SELECT CAST(n_nationkey AS VARCHAR) AS anim_id, CAST(n_regionkey AS VARCHAR) AS clip_id, CAST(0 AS DOUBLE) AS duration FROM nation")
 def listed_poses(spark, d):
     return files.clips_without_manifest(spark, _folder(spark, d, ".csv")).select("anim_id", "clip_id", "duration")
 
