@@ -2,17 +2,38 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .files import POSE_COLUMNS
 
 
+def _texts(values: list, places: int) -> list[str]:
+    """Decimals of the exact values, ties to the even digit, as C's printf gives them; Java's formatter rounds up digits of a rounded text."""
+    form, names = f"%.{places}f", {"nan": "NaN", "inf": "Infinity", "-inf": "-Infinity"}
+    return ["null" if v is None else form % v if math.isfinite(v) else names[str(v)] for v in values]
+
+
 def fixed(x: Column, places: int) -> Column:
     """A number with a fixed count of decimals; a negative zero keeps its sign."""
-    return F.format_string(f"%.{places}f", x.cast("double"))
+    @F.arrow_udf("string")
+    def text(column: pa.Array) -> pa.Array:
+        return pa.array(_texts(column.to_pylist(), places), pa.string())
+
+    return text(x.cast("double"))
+
+
+def fixed_list(x: Column, places: int) -> Column:
+    """An array's numbers as ``fixed`` gives them, with commas between; null for a null array."""
+    @F.arrow_udf("string")
+    def text(column: pa.Array) -> pa.Array:
+        return pa.array([None if v is None else ",".join(_texts(v, places)) for v in column.to_pylist()], pa.string())
+
+    return text(x.cast("array<double>"))
 
 
 # Header lines of the files; embeddings have one more name for each component.
@@ -38,8 +59,7 @@ def manifest_lines(rows: DataFrame) -> DataFrame:
 
 def pose_lines(frames: DataFrame, key: Sequence[str], feat: str = "feat") -> DataFrame:
     """``key, frame_ix, line``: the frame's number and its values with eight decimals."""
-    values = F.array_join(F.transform(feat, lambda x: fixed(x, 8)), ",")
-    return frames.select(*key, "frame_ix", F.concat_ws(",", F.col("frame_ix").cast("string"), values).alias("line"))
+    return frames.select(*key, "frame_ix", F.concat_ws(",", F.col("frame_ix").cast("string"), fixed_list(F.col(feat), 8)).alias("line"))
 
 
 def pose_header() -> str:
@@ -47,8 +67,7 @@ def pose_header() -> str:
 
 
 def embedding_lines(rows: DataFrame, order: str) -> DataFrame:
-    values = F.array_join(F.transform("emb", lambda x: fixed(x, 8)), ",")
-    return rows.select(order, F.concat_ws(",", "anim_id", "clip_id", fixed(F.col("duration"), 6), values).alias("line"))
+    return rows.select(order, F.concat_ws(",", "anim_id", "clip_id", fixed(F.col("duration"), 6), fixed_list(F.col("emb"), 8)).alias("line"))
 
 
 def group_file_lines(rows: DataFrame, order: str) -> DataFrame:

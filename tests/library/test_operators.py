@@ -291,6 +291,15 @@ def test_embedding_files(spark, tmp_path):
     assert [r.row_ix for r in files.read_packed(spark, str(tmp_path / "packed"), 1).collect()] == [1]
 
 
+def test_decimals_are_those_of_the_exact_value(spark):
+    values = [53 / 512, 55 / 512, -53 / 512, 1.5e-8, 2.5e-9, -0.0, 1e22, None, float("nan"), float("-inf")]
+    rows = [(k, str(k), "c", x, [x, 0.5]) for k, x in enumerate(values)] + [(99, "99", "c", 1 / 128, None)]
+    e = spark.createDataFrame(rows, "row_ix int, anim_id string, clip_id string, duration double, emb array<double>")
+    got = {r.row_ix: r.line.split(",")[2:] for r in sinks.embedding_lines(e, "row_ix").collect()}
+    assert [got[k][1] for k in range(7)] == ["0.10351562", "0.10742188", "-0.10351562", "0.00000001", "0.00000000", "-0.00000000", "10000000000000000000000.00000000"]
+    assert [got[k][1] for k in (7, 8, 9)] == ["null", "NaN", "-Infinity"] and got[0][2] == "0.50000000" and got[99] == ["0.007812"]
+
+
 def test_stream_equals_batch(spark, tmp_path):
     events = spark.createDataFrame([(k, f"t{k % 3}") for k in range(50)], "id int, kind string")
     events.repartition(3).write.parquet(str(tmp_path / "in"))
