@@ -192,6 +192,24 @@ def test_training_gradients_and_losses():
     assert len(va) == 20 and sorted([*tr, *va]) == list(range(100))
 
 
+def test_training_keeps_32_bits_and_its_losses():
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(120, 3)) @ rng.normal(size=(3, 12))
+    s = train.Settings(hidden=(16,), latent=4, epochs=3, batch=16, rate=3e-3)
+    nets = train.train(x, x[:, :2], s)
+    assert {p.dtype for n in nets for p in (*n.weights, *n.biases)} == {np.dtype(np.float32)}
+    # Losses of the trainer that had 64 bits.
+    assert [h["loss"] for h in s.history] == pytest.approx([2.403852564939753, 2.2664832403483817, 2.147726091144723], rel=1e-4)
+    assert [h["validation"] for h in s.history] == pytest.approx([1.623770819780882, 1.5414392050304697, 1.4502129218757869], rel=1e-4)
+
+
+def test_means_of_a_gradient_that_stays_zero_end():
+    adam = train.Adam(np.zeros(3, np.float32))
+    for k in range(640):
+        adam.step(np.array([k == 0, k == 0, 1], np.float32), 1e-3)
+    assert adam.m[:2].tolist() == [0, 0] and adam.m[2] > 1 and adam.parameters[2] == pytest.approx(-0.64, rel=1e-3)
+
+
 def test_losses_agree(spark):
     rng = np.random.default_rng(2)
     a, b = rng.normal(size=(6, 3)), rng.normal(size=(6, 3))
