@@ -203,6 +203,21 @@ def test_training_keeps_32_bits_and_its_losses():
     assert [h["validation"] for h in s.history] == pytest.approx([1.623770819780882, 1.5414392050304697, 1.4502129218757869], rel=1e-4)
 
 
+def test_training_of_views():
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(120, 3)) @ rng.normal(size=(3, 12))
+    swap, sign = np.array([2, 1, 0]), np.array([1, 1, -1])
+    a, b = train.two_views(x[:9], np.random.default_rng(5), 4, 4, None, None)
+    draws = np.random.default_rng(5)
+    for view in (a, b):
+        assert np.array_equal(view, [np.roll(c.reshape(4, 3), k, axis=0).ravel() for c, k in zip(x, draws.integers(-4, 5, 9))])
+    s = train.Settings(hidden=(16,), latent=4, epochs=3, batch=16, rate=3e-3, clip=0.0, projection=4, weight=0.2, views=lambda x, r: train.two_views(x, r, 4, 4, swap, sign))
+    nets = train.train(x, None, s)
+    assert {p.dtype for n in nets for p in (*n.weights, *n.biases)} == {np.dtype(np.float32)}
+    # Losses of the trainer that had 64 bits.
+    assert [h["loss"] for h in s.history] == pytest.approx([3.0467514372782687, 3.033573323037846, 3.013949945766886], rel=1e-4)
+
+
 def test_means_of_a_gradient_that_stays_zero_end():
     adam = train.Adam(np.zeros(3, np.float32))
     for k in range(640):
