@@ -218,6 +218,24 @@ def test_training_of_views():
     assert [h["loss"] for h in s.history] == pytest.approx([3.0467514372782687, 3.033573323037846, 3.013949945766886], rel=1e-4)
 
 
+@pytest.mark.parametrize("name", ["training_losses"])
+def test_training_takes_every_row(spark, tmp_path, monkeypatch, name):
+    n, seen = 200_100, []
+    spark.range(n).selectExpr(f"{n} - id AS vec_id", "array(CAST(id AS FLOAT), 0.5F, -1F, 2F) AS embedding").write.parquet(str(tmp_path / "embeddings.parquet"))
+    monkeypatch.setattr(train, "train", lambda x, energy, s: (seen.append((x, energy)), s.history.append(dict.fromkeys(("loss", "reconstruction", "contrastive", "validation"), 0.0) | {"epoch": 0})))
+    assert registry.QUERIES[name](spark, str(tmp_path)).count() == 1
+    (x, energy), = seen
+    assert x.dtype == np.float32 and x.shape == (n, 4) and np.array_equal(x[:, 0], np.arange(n)[::-1])  # in order of vec_id
+    assert energy is None or np.array_equal(energy, np.abs(x))
+
+
+def test_training_refuses_nulls_and_other_lengths(spark, tmp_path):
+    for k, v in enumerate(("array(1F, NULL)", "IF(id = 1, NULL, array(1F, 2F))", "IF(id = 1, array(1F), array(1F, 2F))")):
+        spark.range(3).selectExpr("id AS vec_id", f"{v} AS embedding").write.parquet(str(tmp_path / f"{k}" / "embeddings.parquet"))
+        with pytest.raises(ValueError, match="one length and no nulls"):
+            registry.QUERIES["training_losses"](spark, str(tmp_path / f"{k}"))
+
+
 def test_means_of_a_gradient_that_stays_zero_end():
     adam = train.Adam(np.zeros(3, np.float32))
     for k in range(640):
