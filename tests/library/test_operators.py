@@ -218,7 +218,7 @@ def test_training_of_views():
     assert [h["loss"] for h in s.history] == pytest.approx([3.0467514372782687, 3.033573323037846, 3.013949945766886], rel=1e-4)
 
 
-@pytest.mark.parametrize("name", ["training_losses"])
+@pytest.mark.parametrize("name", ["training_losses", "training_losses_of_views"])
 def test_training_takes_every_row(spark, tmp_path, monkeypatch, name):
     n, seen = 200_100, []
     spark.range(n).selectExpr(f"{n} - id AS vec_id", "array(CAST(id AS FLOAT), 0.5F, -1F, 2F) AS embedding").write.parquet(str(tmp_path / "embeddings.parquet"))
